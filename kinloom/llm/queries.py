@@ -23,6 +23,14 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(spark, table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op2_sentencepiece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinloom.llm.sp_codec import decode, encode
+
+    path = tokenizer_file("piece_bpe_32k.model")
+    both = decode(encode(table(spark, sf_dir, "documents"), path, dropout=0.1, seed=17, turns=4), path)
+    return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"), F.sha2("decoded", 256).alias("decoded_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinloom.llm.line_dedup import dedup_lines
 
@@ -46,10 +54,18 @@ FROM keyed LEFT JOIN frequent f USING (key) GROUP BY doc_id
 """
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinloom.llm.token_count import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
+        "op2_sentencepiece_dropout": op2_sentencepiece_dropout,
         "op6_line_dedup": op6_line_dedup,
+        "op9_token_counts": op9_token_counts,
     }
 
 
