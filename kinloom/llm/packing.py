@@ -9,6 +9,7 @@ search in it.  The result is that of best-fit decreasing run over all pieces at
 
 from __future__ import annotations
 
+import re
 import sys
 import zlib
 from array import array
@@ -40,7 +41,8 @@ class WordTokenizer:
     """Ids of whole texts by the ``tokenizers`` file at ``path``, as little-endian unsigned 32-bit bytes.
 
     Only for tokenizers that split at white space and drop it, so that a text's ids are those of its
-    white-space-delimited words, one after the other.
+    white-space-delimited words, one after the other.  Words are kept with their ids.  A new word of plain letters and
+    punctuation goes to the file's model in these two pieces, if the file cuts it so; any other goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -48,9 +50,17 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {"": b""}
         self.odd = regex.compile(_ODD_SPACE)
         self.plain = regex.compile("[ \t\n\r]+")
+        #: letters that have one code point however they are composed, then punctuation without apostrophes
+        self.simple = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+        self.bytes = {b: chr(b) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174 else None for b in range(256)}
+        for n, b in enumerate([b for b, c in self.bytes.items() if c is None]):
+            self.bytes[b] = chr(256 + n)
+        self.cuts_simply = all(self.split(w) == self.whole([w])[0] for w in ("Abcé,", "ß).", "naïve", "A.-", "tion", "ÀÉÅÿ"))
 
     def words(self, text: str) -> list[str]:
         """The text cut at blanks, tabs and line ends; rarer white space is left to the tokenizer."""
@@ -58,22 +68,48 @@ class WordTokenizer:
             return [w for w in self.plain.split(text) if w]
         return text.split()
 
+    def whole(self, words: list[str]) -> list[bytes]:
+        return [as_bytes(x.ids) for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def piece(self, piece: str) -> bytes:
+        own = self.pieces.get(piece)
+        if own is None:
+            shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.bytes)
+            own = as_bytes([x.id for x in self.model.tokenize(shown)])
+            if len(piece) <= CACHE_CHARS:
+                self.pieces[piece] = own
+        return own
+
+    def split(self, word: str) -> bytes | None:
+        if (m := self.simple(word)) is None:
+            return None
+        letters, marks = m.groups()
+        return self.piece(letters.lower()) + self.piece(marks)
+
+    def learn(self, words: list[str]) -> None:
+        known, rest = self.known, words
+        if self.cuts_simply:
+            rest = []
+            for word in words:
+                if (own := self.split(word)) is None:
+                    rest.append(word)
+                else:
+                    known[word] = own
+        for at in range(0, len(rest), 20_000):
+            known.update(zip(rest[at : at + 20_000], self.whole(rest[at : at + 20_000])))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.words(t) for t in texts]
         new = set().union(*cut).difference(self.known)
         if len(self.known) + len(new) > CACHE_WORDS:
             self.known.clear()
+            self.pieces = {"": b""}
             new = set().union(*cut)
-        new = list(new)
-        known = self.known
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[word] = as_bytes(found.ids)
-        out = [b"".join(map(known.__getitem__, ws)) for ws in cut]
+        self.learn(list(new))
+        out = [b"".join(map(self.known.__getitem__, ws)) for ws in cut]
         for word in new:
             if len(word) > CACHE_CHARS:
-                del known[word]
+                del self.known[word]
         return out
 
 
