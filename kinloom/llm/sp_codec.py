@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from kinloom.llm.packing import as_bytes
 from kinloom.llm.sentencepieces import SPACE, Pieces, pieces
@@ -183,4 +184,4 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
                 texts.append(None if ids is None else b"".join([table[i] for i in np.frombuffer(ids, "<u4").tolist()])[1:])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary()).cast(pa.string())], names=[*names, "decoded"])
 
-    return encoded.mapInArrow(run, encoded.schema.add("decoded", "string"))
+    return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField("decoded", StringType())]))
