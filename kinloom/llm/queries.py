@@ -54,22 +54,74 @@ FROM keyed LEFT JOIN frequent f USING (key) GROUP BY doc_id
 """
 
 
+SHARD_BYTES = 1 << 20
+
+
+def op8_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinloom.llm.sharding import extendible_shards
+
+    return extendible_shards(spark, table(spark, sf_dir, "documents"), SHARD_BYTES)
+
+
+OP8_SQL = f"""
+WITH hashed AS (
+  SELECT doc_id, ('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT AS h, coalesce(strlen(text), 0) AS n_bytes FROM documents),
+levels AS (SELECT unnest(range(0, 25)) AS depth),
+sums AS (
+  SELECT depth, h >> (60 - depth) AS p, sum(n_bytes)::BIGINT AS shard_bytes FROM hashed, levels GROUP BY ALL),
+found AS (
+  SELECT doc_id, h, n_bytes, min(s.depth) AS depth FROM hashed JOIN sums s ON s.p = h >> (60 - s.depth)
+  WHERE shard_bytes <= {SHARD_BYTES} GROUP BY ALL)
+SELECT doc_id, substr(lpad(bin(h), 60, '0'), 1, f.depth::INT) AS shard, f.depth::INT AS depth, n_bytes, shard_bytes
+FROM found f JOIN sums s ON s.depth = f.depth AND s.p = h >> (60 - f.depth)
+"""
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinloom.llm.token_count import count_tokens
 
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinloom.llm.substring_dedup import dedup_units
+
+    kept = dedup_units(spark, table(spark, sf_dir, "documents"), unit="line", min_words=8)
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return kept.select("doc_id", "n_units", "n_removed", gone.alias("removed_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP10_SQL = """
+WITH cut AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+lined AS (
+  SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM cut),
+keyed AS (
+  SELECT *, translate(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lined),
+ranked AS (
+  SELECT *, len(string_split(key, ' ')) >= 8 AND row_number() OVER (PARTITION BY key ORDER BY doc_id, pos) > 1 AS gone FROM keyed)
+SELECT doc_id, count(*) AS n_units, count(*) FILTER (WHERE gone) AS n_removed,
+  coalesce(sum(length(line)) FILTER (WHERE gone), 0)::BIGINT AS removed_chars,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM ranked GROUP BY doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
         "op2_sentencepiece_dropout": op2_sentencepiece_dropout,
         "op6_line_dedup": op6_line_dedup,
+        "op8_extendible_shards": op8_extendible_shards,
         "op9_token_counts": op9_token_counts,
+        "op10_substring_dedup": op10_substring_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op6_line_dedup": OP6_SQL,
+        "op8_extendible_shards": OP8_SQL,
+        "op10_substring_dedup": OP10_SQL,
     }
