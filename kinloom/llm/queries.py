@@ -31,6 +31,42 @@ def op2_sentencepiece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"), F.sha2("decoded", 256).alias("decoded_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinloom.llm.quality_rules import quality_rules
+
+    return quality_rules(spark, table(spark, sf_dir, "documents"))
+
+
+def op4_sql() -> str:
+    from kinloom.llm.quality_rules import CUTOFF, steps_sql
+
+    blank = r"[\x20\x09-\x0D]"
+    stats = rf"""
+texts AS (
+  SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+cut AS (
+  SELECT *, list_filter(string_split_regex(text, '{blank}+'), lambda w: w <> '') AS words,
+    list_filter(string_split(text, chr(10)), lambda s: regexp_matches(s, '[^\x20\x09-\x0D]')) AS lines FROM texts),
+windows AS (
+  SELECT doc_id, i, array_to_string(words[i:i + 4], ' ') AS k FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM cut)),
+repeated AS (
+  SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k) AS c FROM windows) WHERE c > 1),
+covered AS (
+  SELECT doc_id, count(DISTINCT i + o) AS n FROM repeated, (SELECT unnest(range(5)) AS o) GROUP BY doc_id),
+stats AS (
+  SELECT doc_id, lang, source, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, len(lines) AS n_lines,
+    len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+  FROM cut LEFT JOIN covered USING (doc_id))"""
+    steps = "".join(f",\n{name} AS MATERIALIZED ({query})" for name, query in steps_sql("stats"))
+    failed = "(n_words < 10 OR 100 * n_repeat_words > 20 * n_words)"
+    return f"""WITH {stats}{steps}
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+  n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, {failed} AS base_failed,
+  NOT {failed} AND (d2 IS NULL OR d2 <= {CUTOFF}) AS kept
+FROM stats LEFT JOIN judged USING (doc_id)"""
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinloom.llm.line_dedup import dedup_lines
 
@@ -112,6 +148,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
         "op2_sentencepiece_dropout": op2_sentencepiece_dropout,
+        "op4_quality_rules": op4_quality_rules,
         "op6_line_dedup": op6_line_dedup,
         "op8_extendible_shards": op8_extendible_shards,
         "op9_token_counts": op9_token_counts,
@@ -121,6 +158,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_quality_rules": op4_sql(),
         "op6_line_dedup": OP6_SQL,
         "op8_extendible_shards": OP8_SQL,
         "op10_substring_dedup": OP10_SQL,
