@@ -67,6 +67,25 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 FROM stats LEFT JOIN judged USING (doc_id)"""
 
 
+def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinloom.llm.topk_search import topk_search
+
+    return topk_search(spark, table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
+OP5_SQL = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM whole q JOIN whole c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+ranked AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM scored)
+SELECT * FROM ranked WHERE rank <= 5
+"""
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinloom.llm.line_dedup import dedup_lines
 
@@ -149,6 +168,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_best_fit_packing": op1_best_fit_packing,
         "op2_sentencepiece_dropout": op2_sentencepiece_dropout,
         "op4_quality_rules": op4_quality_rules,
+        "op5_topk_search": op5_topk_search,
         "op6_line_dedup": op6_line_dedup,
         "op8_extendible_shards": op8_extendible_shards,
         "op9_token_counts": op9_token_counts,
@@ -159,6 +179,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_quality_rules": op4_sql(),
+        "op5_topk_search": OP5_SQL,
         "op6_line_dedup": OP6_SQL,
         "op8_extendible_shards": OP8_SQL,
         "op10_substring_dedup": OP10_SQL,
