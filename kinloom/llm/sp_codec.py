@@ -29,7 +29,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from kinloom.llm.packing import as_bytes
 from kinloom.llm.sentencepieces import SPACE, Pieces, pieces
 
-CACHE_WORDS = 800_000
+CACHE_WORDS = 500_000
 CACHE_CHARS = 48
 #: Up to this length a list does for the agenda of a word.
 SHORT = 24
@@ -46,16 +46,61 @@ class MergeEncoder:
         self.byte_ids = vocabulary.byte_ids
         self.limit = int(dropout * (1 << 64))
         self.seed = seed & _MASK
-        self.known: dict[tuple[str, int], bytes] = {}
+        self.known: dict[str, bytes] = {}
+        # for many words at once: the piece of a character, and the piece of two neighbours by a table with open addressing
+        self.of_char = np.full(0x110000, -1, np.int64)
+        for c, i in self.ids.items():
+            if len(c) == 1:
+                self.of_char[ord(c)] = i
+        # characters of one byte that are no piece; no pair has a byte piece
+        for b in range(128):
+            if self.of_char[b] < 0:
+                self.of_char[b] = self.byte_ids[b]
+        self.scores = np.full(max(self.ids.values()) + 1, _GONE)
+        for c, i in self.ids.items():
+            self.scores[i] = self.score[c]
+        pairs = {(self.ids[c[:k]] << 20 | self.ids[c[k:]]): i for c, i in self.ids.items() for k in range(1, len(c)) if c[:k] in self.ids and c[k:] in self.ids}
+        self.bits = max(4, (4 * len(pairs)).bit_length())
+        self.slots, self.merged = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int64)
+        left = np.array(list(pairs), dtype=np.int64)
+        values, step = np.array(list(pairs.values()), dtype=np.int64), 0
+        while len(left):
+            at = self.slot(left, step)
+            free = self.slots[at] < 0
+            self.slots[at[free]], self.merged[at[free]] = left[free], values[free]
+            rest = self.slots[at] != left
+            left, values, step = left[rest], values[rest], step + 1
+        self.probes = step
+
+    def slot(self, keys: np.ndarray, step: int) -> np.ndarray:
+        x = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)
+        return (x.astype(np.int64) + step) & ((1 << self.bits) - 1)
+
+    def joined(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The piece that each a and b make up, or -1."""
+        keys = a << 20 | b
+        out = np.full(len(keys), -1, np.int64)
+        left = np.arange(len(keys))
+        for step in range(self.probes):
+            at = self.slot(keys[left], step)
+            there = self.slots[at]
+            hit = there == keys[left]
+            out[left[hit]] = self.merged[at[hit]]
+            left = left[~hit & (there >= 0)]
+            if not len(left):
+                break
+        return out
 
     def skipped(self, base: int, left: int, piece: int) -> bool:
         x = (base ^ (left << 32 | piece) * 0x9E3779B97F4A7C15) & _MASK
-        return (x ^ x >> 31) * 0xD6E8FEB86659FD93 & _MASK < self.limit
+        return (x ^ x >> 31) * 0xD6E8FEB86659FD93 & _MASK < min(self.limit, _MASK)
+
+    def base(self, word: str, turn: int) -> int:
+        """What keys the hashes of a word's candidates."""
+        return (xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"), self.seed) + turn * 0x9E3779B97F4A7C15) & _MASK if self.limit else 0
 
-    def symbols(self, word: str, turn: int) -> list[str]:
+    def symbols(self, word: str, base: int) -> list[str]:
         """The word cut into symbols after all merges."""
-        limit = self.limit
-        base = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"), (self.seed + turn * 0x9E3779B1) & _MASK) if limit else 0
         return self.short(word, base) if len(word) <= SHORT else self.long(word, base)
 
     def short(self, word: str, base: int) -> list[str]:
@@ -109,36 +154,97 @@ class MergeEncoder:
                 consider(before[i])
         return [s for s in symbol if s]
 
-    def word(self, word: str, turn: int) -> bytes:
-        symbols, ids = self.symbols(word, turn), self.ids
+    def word(self, word: str, base: int) -> bytes:
+        symbols, ids = self.symbols(word, base), self.ids
         try:
             return as_bytes([ids[s] for s in symbols])
         except KeyError:
             return as_bytes([i for s in symbols for i in ([ids[s]] if s in ids else [self.byte_ids[b] for b in s.encode("utf-8", "surrogatepass")])])
 
-    def text(self, text: str, key: int, turns: int) -> bytes:
-        """Ids of a text whose document has the 64-bit key, as little-endian unsigned 32-bit bytes."""
-        if not text:
-            return b""
-        text = " " + text
-        words = [" " + w for w in text[1:].split(" ")] if "  " not in text and text[-1] != " " else _WORD.findall(text)
-        if not self.limit:
-            ask = [(w, 0) for w in words]
-        else:
-            x = np.arange(1, len(words) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((key ^ self.seed * 0xC2B2AE3D27D4EB4F) & _MASK)
-            x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-            x ^= x >> np.uint64(29)
-            ask = list(zip(words, (x % np.uint64(turns) if turns else x).tolist()))
+    def words(self, words: list[str], turns: list[int]) -> list[bytes]:
+        """Ids of words, each at its turn.  Short words of known characters go through the merges all at once, the others one by one."""
+        out: list[bytes | None] = [None] * len(words)
+        bases = list(map(self.base, words, turns))
+        many = [k for k, w in enumerate(words) if len(w) <= SHORT and "\0" not in w]
+        for at in range(0, len(many), 20_000):
+            part = many[at : at + 20_000]
+            for k, own in zip(part, self.many([words[k] for k in part], [bases[k] for k in part])):
+                out[k] = own
+        return [self.word(w, b) if own is None else own for own, w, b in zip(out, words, bases)]
+
+    def many(self, words: list[str], bases: list[int]) -> list[bytes | None]:
+        """Ids of words of at most SHORT characters, None where one has a character that the tables don't know."""
+        chars = np.array(words, dtype=f"U{SHORT}").view(np.uint32).reshape(-1, SHORT)
+        chars = chars[:, : max(2, int((chars > 0).sum(axis=1).max(initial=0)))].astype(np.int64)
+        symbol = self.of_char[chars]
+        there = chars > 0
+        size = there.sum(axis=1)
+        good = ((symbol >= 0) | ~there).all(axis=1)
+        base = np.array(bases, dtype=np.uint64)
+        places = np.arange(chars.shape[1], dtype=np.int32)
+        after, before = np.tile(places + 1, (len(words), 1)), np.tile(places - 1, (len(words), 1))
+        pair, score = np.full(symbol.shape, -1, np.int64), np.full(symbol.shape, _GONE, np.float32)
+        r, i = np.nonzero(there[:, 1:] & good[:, None])
+        pair[r, i] = both = self.joined(symbol[r, i], symbol[r, i + 1])
+        score[r, i] = np.where(both >= 0, self.scores[both], _GONE)
+        rows = np.arange(len(words))
+        while len(rows):
+            i = score[rows].argmax(axis=1)  # the first of the best
+            live = score[rows, i] > _GONE
+            rows, i = rows[live], i[live]
+            r = rows
+            if self.limit:
+                x = base[rows] ^ ((i << 32 | pair[rows, i]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                off = (x ^ x >> np.uint64(31)) * np.uint64(0xD6E8FEB86659FD93) < np.uint64(min(self.limit, _MASK))
+                score[rows[off], i[off]] = _GONE
+                r, i = rows[~off], i[~off]
+            j = after[r, i]
+            symbol[r, i] = pair[r, i]
+            there[r, j], score[r, j], score[r, i] = False, _GONE, _GONE
+            k = after[r, j]
+            after[r, i] = k
+            more, less = k < size[r], before[r, i] >= 0
+            before[r[more], k[more]] = i[more]
+            # the candidates that the new symbol makes up with the next and with the one before
+            row, first = np.concatenate([r[more], r[less]]), np.concatenate([i[more], before[r[less], i[less]]])
+            second = np.concatenate([k[more], i[less]])
+            pair[row, first] = both = self.joined(symbol[row, first], symbol[row, second])
+            score[row, first] = np.where(both >= 0, self.scores[both], _GONE)
+        data = symbol[there].astype("<u4").tobytes()
+        ends = (4 * there.sum(axis=1).cumsum()).tolist()
+        return [data[a:b] if g else None for a, b, g in zip([0, *ends[:-1]], ends, good.tolist())]
+
+    def cut(self, text: str) -> list[str]:
+        """The words of a text without their first blank; one is put before the text."""
+        if "  " in text or text[:1] == " " or text[-1:] == " ":
+            return [w[1:] for w in _WORD.findall(" " + text)]
+        return text.split(" ")
+
+    def turns(self, n: int, key: int) -> np.ndarray:
+        x = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((key ^ self.seed * 0xC2B2AE3D27D4EB4F) & _MASK)
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return x ^ (x >> np.uint64(29))
+
+    def texts(self, texts: list[str | None], keys: list[int], turns: int) -> list[bytes | None]:
+        """Ids of texts whose documents have these 64-bit keys, as little-endian unsigned 32-bit bytes."""
+        if self.limit and not turns:
+            return [None if t is None else b"".join(self.words([" " + w for w in ws], self.turns(len(ws), k & _MASK).tolist())) if (ws := self.cut(t) if t else []) else b"" for t, k in zip(texts, keys)]
+        asked = []
+        for t, k in zip(texts, keys):
+            ws = self.cut(t) if t else []
+            # the turn as a character, in place of the blank, makes the word's key
+            own = (self.turns(len(ws), k & _MASK) % np.uint64(turns)).astype(np.uint8).tobytes().decode("latin-1") if self.limit else "\0" * len(ws)
+            asked.append(list(map(add, own, ws)))
         known = self.known
-        new = set(ask).difference(known)
+        new = set().union(*asked).difference(known)
         if len(known) + len(new) > CACHE_WORDS:
             known.clear()
-            new = set(ask)
-        for a in new:
-            known[a] = self.word(*a)
-        out = b"".join(map(known.__getitem__, ask))
+            new = set().union(*asked)
+        new = list(new)
+        known.update(zip(new, self.words([" " + a[1:] for a in new], [ord(a[0]) for a in new])))
+        out = [None if t is None else b"".join(map(known.__getitem__, a)) for t, a in zip(texts, asked)]
         for a in new:
-            if not turns and self.limit or len(a[0]) > CACHE_CHARS:
+            if len(a) > CACHE_CHARS:
                 del known[a]
         return out
 
@@ -152,8 +258,8 @@ def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 0
     At dropout 0 the ids are those of SentencePiece itself, but for U+2581.  A null text has null ids, an empty one none.
     The same seed, document id and text always give the same ids; a null id counts as one more id.  Other columns are not read.
     """
-    if not 0 <= dropout <= 1:
-        raise ValueError("dropout must be from 0 to 1")
+    if not 0 <= dropout <= 1 or not 0 <= turns <= 256:
+        raise ValueError("dropout must be from 0 to 1, turns from 0 to 256")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = (model_path, dropout, seed)
@@ -161,9 +267,9 @@ def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 0
             _ENCODERS[own] = MergeEncoder(pieces(model_path), dropout, seed)
         enc = _ENCODERS[own]
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids = [None if t is None else enc.text(t, k & _MASK, turns) for k, t in zip(part.column(2).to_pylist(), part.column(1).to_pylist())]
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                ids = enc.texts(part.column(1).to_pylist(), part.column(2).to_pylist(), turns)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.binary())], names=["doc_id", "text", "ids"])
 
     return docs.select("doc_id", "text", F.xxhash64("doc_id").alias("key")).mapInArrow(run, "doc_id long, text string, ids binary")
