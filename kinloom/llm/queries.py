@@ -118,6 +118,12 @@ FROM keyed LEFT JOIN frequent f USING (key) GROUP BY doc_id
 """
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinloom.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(spark, table(spark, sf_dir, "documents"), words=4, num=85, den=100)
+
+
 SHARD_BYTES = 1 << 20
 
 
@@ -180,6 +186,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality_rules": op4_quality_rules,
         "op5_topk_search": op5_topk_search,
         "op6_line_dedup": op6_line_dedup,
+        "op7_jaccard_join": op7_jaccard_join,
         "op8_extendible_shards": op8_extendible_shards,
         "op9_token_counts": op9_token_counts,
         "op10_substring_dedup": op10_substring_dedup,
