@@ -206,13 +206,13 @@ def probe(docs: DataFrame, arrays: DataFrame, hot: LineShard, shards: int, min_c
     return dealt.mapInArrow(answer, "key long, found binary").groupBy("key").agg(F.collect_list("found").alias("found"))
 
 
-def dedup_lines(spark: SparkSession, docs: DataFrame, min_docs: int = 10, min_chars: int = 1, hot_lines: int = HOT_LINES) -> DataFrame:
+def dedup_lines(spark: SparkSession, docs: DataFrame, min_docs: int = 10, min_chars: int = 1, hot_lines: int = HOT_LINES, keep: tuple[str, ...] = ()) -> DataFrame:
     """Drops all lines of ``docs`` (doc_id, text) whose key at least ``min_docs`` documents hold.
 
     A key is a line without blanks at both ends and with A-Z in lower case; keys of under ``min_chars`` code points stay.  A row
     for each document: doc_id, n_lines (before), n_dropped, text (the other lines, joined by line ends).  A null or empty text
-    is one empty line.  Each row counts as a document, repeated ids too.  An empty table gives an empty one.  Other columns are
-    not read.
+    is one empty line.  Each row counts as a document, repeated ids too.  An empty table gives an empty one.  Of other columns, those
+    of ``keep`` go along and the others are not read.
     """
     scratch = Scratch(spark, "lines")
     shards = shuffle_partitions(spark)
@@ -225,9 +225,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, min_docs: int = 10, min_ch
     shared = hot.dumps()
     rest = frequent.limit(0) if len(rows) < hot_lines else frequent.join(F.broadcast(spark.createDataFrame([(r["h1"], r["h2"]) for r in rows], "h1 long, h2 long")), ["h1", "h2"], "left_anti")
     arrays = scratch.save(build_shards(rest, shards), "arrays")
-    found = probe(docs, arrays, hot, shards, min_chars)
+    found = scratch.save(probe(docs, arrays, hot, shards, min_chars), "found")
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = LineShard.loads(*shared)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
@@ -245,8 +245,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, min_docs: int = 10, min_ch
                     i += n
                     lines.append(n), dropped.append(sum(off))
                     out.append(b"\n".join([x for x, o in zip(t.split(b"\n"), off) if not o]) if dropped[-1] else t)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(out, pa.binary()).cast(pa.string())], names=["doc_id", "n_lines", "n_dropped", "text"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(out, pa.binary()).cast(pa.string()), *part.columns[3:]], names=["doc_id", "n_lines", "n_dropped", "text", *keep])
 
     key = F.coalesce("doc_id", F.lit(NO_ID))
-    joined = docs.select("doc_id", "text", key.alias("key")).join(found, "key", "left")
-    return joined.select("doc_id", "text", "found").mapInArrow(keep, "doc_id long, n_lines long, n_dropped long, text string")
+    types = dict(docs.dtypes)
+    joined = docs.select("doc_id", "text", key.alias("key"), *keep).join(found, "key", "left")
+    return joined.select("doc_id", "text", "found", *keep).mapInArrow(thin, ", ".join(["doc_id long, n_lines long, n_dropped long, text string", *(f"{c} {types[c]}" for c in keep)]))

@@ -232,7 +232,7 @@ def score_quality(spark: SparkSession, docs: DataFrame, model: Model, *kept: str
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array(model.scores(own.of(part.column(n).to_pylist())))], names=[*kept, "score"])
 
     types = dict(docs.dtypes)
-    return docs.select(*kept, "text").mapInArrow(run, ", ".join([*(f"{c} {types[c]}" for c in kept), "score double"]))
+    return docs.select(*kept, F.col("text").alias("scored_text")).mapInArrow(run, ", ".join([*(f"{c} {types[c]}" for c in kept), "score double"]))
 
 
 def held_out(doc_id: Column) -> Column:

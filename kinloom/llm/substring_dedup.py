@@ -40,19 +40,19 @@ def unit_digests(text: bytes, unit: str, min_words: int) -> list[tuple[int, byte
     return out
 
 
-def dedup_units(spark: SparkSession, docs: DataFrame, unit: str = "line", min_words: int = 8) -> DataFrame:
+def dedup_units(spark: SparkSession, docs: DataFrame, unit: str = "line", min_words: int = 8, keep: tuple[str, ...] = ()) -> DataFrame:
     """Keeps the earliest occurrence of each unit of ``docs`` (doc_id, text) and removes the others.
 
     ``unit`` is "line" or "paragraph" (parted by lines of blanks); units of under ``min_words`` words stay, however often they
     occur, and so do empty ones.  A row for each document: doc_id, n_units, n_removed, spans (start and end of each removed unit,
     in code points of the original text), text (what is left; a removed unit takes the line end after it along, the last unit
     the one before it).  A null text is an empty one.  Equal rows, id and text, count as one document and keep the same
-    units.  An empty table gives an empty one.  Other columns are not read.
+    units.  An empty table gives an empty one.  Of other columns, those of ``keep`` go along and the others are not read.
     """
     if unit not in CUTS or min_words < 1:
         raise ValueError("unit must be line or paragraph, and min_words positive")
     scratch = Scratch(spark, "units")
-    rows = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), F.xxhash64("text").alias("mark"))
+    rows = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), F.xxhash64("text").alias("mark"), *keep)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,7 +69,7 @@ def dedup_units(spark: SparkSession, docs: DataFrame, unit: str = "line", min_wo
     here = F.struct("key", "mark", "place")
     repeated = found.groupBy("h1", "h2").agg(F.min(here).alias("first"), F.max(here).alias("last")).filter(F.col("first") != F.col("last")).select("h1", "h2", "first")
     gone = found.join(repeated, ["h1", "h2"]).filter(F.col("first") != here)
-    places = gone.groupBy("key", "mark").agg(F.collect_set("place").alias("places"))
+    places = scratch.save(gone.groupBy("key", "mark").agg(F.collect_set("place").alias("places")), "places")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,7 +97,8 @@ def dedup_units(spark: SparkSession, docs: DataFrame, unit: str = "line", min_wo
                             out.append(t[cuts[i][1] : cuts[i + 1][0]])
                     spans.append(own), texts.append(b"".join(out))
                 span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, span), pa.array(texts, pa.binary()).cast(pa.string())], names=["doc_id", "n_units", "n_removed", "spans", "text"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, span), pa.array(texts, pa.binary()).cast(pa.string()), *part.columns[3:]], names=["doc_id", "n_units", "n_removed", "spans", "text", *keep])
 
-    joined = rows.join(places, ["key", "mark"], "left").select("doc_id", "text", "places")
-    return joined.mapInArrow(cut, "doc_id long, n_units long, n_removed long, spans array<struct<start: long, end: long>>, text string")
+    joined = rows.join(places, ["key", "mark"], "left").select("doc_id", "text", "places", *keep)
+    types = dict(docs.dtypes)
+    return joined.mapInArrow(cut, ", ".join(["doc_id long, n_units long, n_removed long, spans array<struct<start: long, end: long>>, text string", *(f"{c} {types[c]}" for c in keep)]))
