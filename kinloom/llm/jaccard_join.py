@@ -29,13 +29,12 @@ from kinloom.llm.components import components
 from kinloom.llm.scratch import Scratch, shuffle_partitions
 
 NO_ID = -(1 << 63)
-#: Coordinates of points.
-GROUPS = 64
+#: Coordinates of points: a power of two near a 16th of the set's size, between these.
+GROUPS = (64, 4096)
 #: Parts more than needed: a set with at most so many empty parts needn't send these.
 SPARE = 2
 #: Documents in a chunk of a large meeting, and in a leaf of the tree.
 CHUNK, LEAF = 1024, 16
-CACHE_WORDS = 1_000_000
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0x94D049BB133111EB))
 
 
@@ -49,31 +48,74 @@ def _scalar(k: int, by: np.uint64) -> np.uint64:
     return np.uint64(k * int(by) & (1 << 64) - 1)
 
 
-class Shingler:
-    """Sets of distinct word shingles, as sorted 64-bit hashes.  Words are parted by blanks; A-Z count as lower case."""
-
-    def __init__(self, words: int):
-        self.words = words
-        self.known: dict[bytes, int] = {}
-
-    def of(self, texts: list[bytes | None]) -> list[np.ndarray]:
-        cut = [t.lower().split() if t else [] for t in texts]
-        known = self.known
-        new = set().union(*cut).difference(known)
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            new = set().union(*cut)
-        known.update(zip(new, map(xxhash.xxh3_64_intdigest, new)))
-        out = []
-        for ws in cut:
-            h = np.fromiter(map(known.__getitem__, ws), np.uint64, len(ws))
-            k = min(self.words, len(h))
-            x = np.zeros(len(h) - k + 1 if k else 0, np.uint64)
-            for i in range(k):
-                x = (x + h[i : len(h) - k + 1 + i]) * (_A if i & 1 else _B)
-                x ^= x >> np.uint64(29)
-            out.append(np.unique(x + np.uint64(k)))
-        return out
+def _random(n: int, salt: int) -> np.ndarray:
+    return mixed(np.arange(1, n + 1, dtype=np.uint64) * _A + _scalar(salt, _B)) | np.uint64(1)
+
+
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+#: Random values of bytes, alike for A-Z and a-z, and multipliers of the places in a word and of words in a shingle.
+_BYTE = _random(256, 1)
+_BYTE[65:91] = _BYTE[97:123]
+_PLACE, _TURN = _random(256, 2), _random(64, 3)
+
+
+def spans(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For segments laid end to end: the segment of each element, and its place there."""
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of texts laid end to end, and how many words each text has."""
+    inner = ~_BLANK[data]
+    joined = inner[1:] & inner[:-1]  # with the byte before in one word
+    cuts = offsets[1:-1]
+    joined[cuts[(cuts > 0) & (cuts < len(data))] - 1] = False
+    first = np.flatnonzero(inner & ~np.append(False, joined)[: len(data)])
+    counts = np.diff(np.searchsorted(first, offsets))
+    if not len(first):
+        return np.zeros(0, np.uint64), counts
+    letters = data[inner]
+    starts = np.cumsum(inner)[first] - 1
+    lengths = np.diff(np.append(starts, len(letters)))
+    place = np.arange(len(letters)) - np.repeat(starts, lengths)
+    by = _PLACE[place & 255]
+    if int(lengths.max()) > 256:
+        by = by * (2 * (place >> 8) + 1).astype(np.uint64)
+    return mixed(np.add.reduceat(_BYTE[letters] * by, starts) + lengths.astype(np.uint64) * _A), counts
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct 64-bit hashes of the word shingles of each text, end to end, and the sizes of the sets.
+
+    Words are parted by blanks; A-Z count as a-z.  A text of fewer words has all of them as one shingle.
+    """
+    h, counts = word_hashes(data, offsets)
+
+    def mix(window: np.ndarray, k: int) -> np.ndarray:
+        x = np.zeros(len(window) - k + 1, np.uint64)
+        for j in range(k):
+            x += window[j : len(window) - k + 1 + j] * _TURN[j % 64] + _scalar(j // 64, _C)
+        return mixed(x + np.uint64(k))
+
+    _, place = spans(counts)
+    whole = place + words <= np.repeat(counts, counts)
+    values = np.zeros(len(h), np.uint64)
+    if len(h) >= words:
+        values[: len(h) - words + 1] = mix(h, words)
+    sizes = np.maximum(counts - words + 1, 0)
+    bounds = np.cumsum(counts) - counts
+    for i in np.flatnonzero((counts > 0) & (counts < words)):
+        values[bounds[i]] = mix(h[bounds[i] : bounds[i] + counts[i]], int(counts[i]))[0]
+        whole[bounds[i]], sizes[i] = True, 1
+    values = values[whole]
+    ends = np.cumsum(sizes)
+    for a, b in zip((ends - sizes).tolist(), ends.tolist()):
+        values[a:b].sort()
+    owner, place = spans(sizes)
+    new = np.append(True, values[1:] != values[:-1])[: len(values)] | (place == 0)
+    return values[new], np.bincount(owner[new], minlength=len(sizes))
 
 
 @dataclass(frozen=True)
@@ -103,28 +145,46 @@ def bands(threshold: Threshold, most: int) -> list[int]:
     return out
 
 
-def parts(own: np.ndarray, threshold: Threshold, band_of: list[int]) -> np.ndarray:
-    """Digests of the parts of a set, for its own band and those of larger sets that it may link with."""
-    n, out = len(own), []
-    k = int(np.searchsorted(band_of, n, side="right")) - 1
-    largest = threshold.largest_partner(n)
-    spread = mixed(own + _A)
-    while k + 1 < len(band_of) and band_of[k] <= max(n, largest):
-        apart = threshold.most_apart(2 * (band_of[k + 1] - 1))
-        if apart:  # else only equal sets link
-            count = apart + 1 + SPARE
-            to = (mixed(own ^ _scalar(k + 1, _B)) % np.uint64(count)).astype(np.int64)
-            total = np.zeros(count, np.uint64)
-            np.add.at(total, to, spread)
-            filled = np.bincount(to, minlength=count) > 0
-            keep = filled if (~filled).sum() <= SPARE else np.ones(count, bool)
-            out.append(mixed(total + np.arange(count, dtype=np.uint64) * _C + _scalar(k + 1, _D))[keep])
-        k += 1
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+def parts(values: np.ndarray, sizes: np.ndarray, threshold: Threshold, band_of: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Digests of the parts of sets laid end to end, for each set's own band and for the next one if it has partners there, and whose they are."""
+    lows = np.array(band_of)
+    apart = np.array([threshold.most_apart(2 * (high - 1)) for high in band_of[1:]])
+    doc = np.flatnonzero(sizes > 0)
+    band = np.searchsorted(lows, sizes[doc], side="right") - 1
+    up = lows[band + 1] <= sizes[doc] * threshold.den // threshold.num
+    doc, band = np.concatenate([doc, doc[up]]), np.concatenate([band, band[up] + 1])
+    useful = apart[band] > 0  # else only equal sets link
+    doc, band = doc[useful], band[useful]
+    if not len(doc):
+        return np.zeros(0, np.uint64), doc
+    count = apart[band] + 1 + SPARE
+    first = np.cumsum(count) - count
+    owner, place = spans(sizes[doc])
+    at = (np.cumsum(sizes) - sizes)[doc][owner] + place
+    salt = mixed((band + 1).astype(np.uint64) * _B)
+    slot = (mixed(values[at] ^ salt[owner]) % count.astype(np.uint64)[owner]).astype(np.int64) + first[owner]
+    total = np.zeros(int(count.sum()), np.uint64)
+    np.add.at(total, slot, mixed(values + _A)[at])
+    filled = np.bincount(slot, minlength=len(total)) > 0
+    of, number = spans(count)
+    empty = count - np.add.reduceat(filled.astype(np.int64), first)
+    keep = filled | (empty > SPARE)[of]
+    return mixed(total + number.astype(np.uint64) * _C + salt[of] * _D)[keep], doc[of[keep]]
 
 
 def point(own: np.ndarray) -> np.ndarray:
-    return np.bincount((own >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS)
+    groups = min(max(1 << max(0, len(own) // 16).bit_length(), GROUPS[0]), GROUPS[1])
+    return np.bincount((own >> np.uint64(40)).astype(np.int64) & (groups - 1), minlength=groups)
+
+
+def folded(points: list[np.ndarray]) -> np.ndarray:
+    """Points with as many coordinates as the shortest: groups that fall together are added up."""
+    least = min(map(len, points))
+    return np.stack([p.reshape(-1, least).sum(axis=0) for p in points]).astype(np.int64)
+
+
+def loaded(point: bytes) -> np.ndarray:
+    return np.frombuffer(point, "<u4")
 
 
 class CountTree:
@@ -175,20 +235,20 @@ def _meeting_pairs(doc: np.ndarray, comp: np.ndarray, size: np.ndarray, points:
     return (np.concatenate(a), np.concatenate(b)) if a else (doc[:0], doc[:0])
 
 
-def _rows(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+def _sets(batches: Iterator[pa.RecordBatch], words: int, rows: int = 256) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """Documents, and the sets of their texts (second column) end to end with their sizes."""
     for batch in batches:
-        at_text = batch.schema.get_field_index("text")
         for at in range(0, batch.num_rows, rows):
             part = batch.slice(at, rows)
-            yield part, part.column(at_text).cast(pa.binary()).to_pylist()
+            text = pa.concat_arrays([part.column(1).cast(pa.large_binary()).fill_null(b"")])
+            offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+            buffer = text.buffers()[2]
+            data = np.frombuffer(buffer, np.uint8)[offsets[0] : offsets[-1]] if buffer is not None and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
+            yield part.column(0), *shingle_sets(data, offsets - offsets[0], words)
 
 
-_SHINGLERS: dict[int, Shingler] = {}
-
-
-def _shingler(words: int) -> Shingler:
-    """One per worker process, with the words it knows."""
-    return _SHINGLERS.setdefault(words, Shingler(words))
+def _each(values: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    return np.split(values, np.cumsum(sizes)[:-1]) if len(sizes) else []
 
 
 def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -206,26 +266,25 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = 5, num
     keyed = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "text")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in _rows(batches):
-            sets = _shingler(words).of(texts)
+        for doc, values, sizes in _sets(batches, words):
+            sets = _each(values, sizes)
             h = np.frombuffer(b"".join([xxhash.xxh3_128_digest(s.tobytes()) for s in sets]), ">i8").astype(np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1])], names=["doc", "n", "h1", "h2"])
+            yield pa.RecordBatch.from_arrays([doc, pa.array(sizes.astype(np.int64)), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array([point(s).astype("<u4").tobytes() for s in sets], pa.binary())], names=["doc", "n", "h1", "h2", "point"])
 
-    described = scratch.save(keyed.mapInArrow(describe, "doc long, n long, h1 long, h2 long"), "described")
+    described = scratch.save(keyed.mapInArrow(describe, "doc long, n long, h1 long, h2 long, point binary"), "described")
     filled = described.filter("n > 0")
     classes = scratch.save(filled.groupBy("h1", "h2").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n")), "classes")
     members = scratch.save(described.join(classes.select("h1", "h2", "rep"), ["h1", "h2"], "left").select("doc", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc")).alias("rep")), "members")
     most = classes.agg(F.max("n")).first()[0] or 1
-    band_of = bands(threshold, threshold.largest_partner(most))
+    band_of = bands(threshold, threshold.largest_partner(most) + 1)
     # documents that stand for no class needn't be read again
     copies = scratch.save(members.filter((F.col("doc") != F.col("rep")) | (F.col("n") == 0)).select("doc").distinct(), "copies")
     standing = keyed.join(copies, "doc", "left_anti")
 
     def divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in _rows(batches):
-            own = [parts(s, threshold, band_of) if len(s) else s for s in _shingler(words).of(texts)]
-            doc = np.repeat(part.column(0).to_numpy(), [len(x) for x in own])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).astype(np.int64)), pa.array(doc)], names=["part", "doc"])
+        for doc, values, sizes in _sets(batches, words):
+            digests, owner = parts(values, sizes, threshold, band_of)
+            yield pa.RecordBatch.from_arrays([pa.array(digests.astype(np.int64)), doc.take(pa.array(owner))], names=["part", "doc"])
 
     same = Window.partitionBy("part")
     sent = standing.mapInArrow(divide, "part long, doc long")
@@ -233,23 +292,36 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = 5, num
     met = scratch.save(met, "met")
 
     ids = scratch.save(met.select("doc").distinct(), "ids")
+    points = scratch.save(filled.select("doc", "n", "point").join(ids, "doc", "left_semi").dropDuplicates(["doc"]), "points")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in _rows(batches):
-            sets = _shingler(words).of(texts)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([point(s).astype("<u4").tobytes() for s in sets], pa.binary())], names=["doc", "n", "shingles", "point"])
-
-    sets = scratch.save(keyed.join(ids, "doc", "left_semi").mapInArrow(gather, "doc long, n long, shingles array<long>, point binary"), "sets")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        a, b = (sets.select(F.col("doc").alias(x), F.col("n").alias(f"n{x}"), F.col("shingles").alias(f"s{x}")) for x in "ab")
-        common = F.size(F.array_intersect("sa", "sb"))
-        return pairs.join(b, "b").join(a, "a").withColumn("common", common).filter(den * F.col("common") >= num * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
+        for doc, values, sizes in _sets(batches, words):
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(values.astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([doc, lists], names=["doc", "shingles"])
+
+    def linked(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs (a, b) that link, found on their sets; only texts of these pairs are read."""
+        ends = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), f"{name}-ends")
+        sets = scratch.save(keyed.join(ends, "doc", "left_semi").mapInArrow(gather, "doc long, shingles array<long>"), f"{name}-sets")
+        a, b = (sets.select(F.col("doc").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
+        common, both = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
+        return pairs.join(b, "b").join(a, "a").filter(den * common >= num * (both - common)).select("a", "b").distinct()
+
+    def may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = (batch.column(i).to_numpy() for i in (2, 3))
+            need = threshold.least_common(na + nb)
+            pairs = zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())
+            bound = np.array([np.minimum(*folded([loaded(p), loaded(q)])).sum() for p, q in pairs], dtype=np.int64)
+            keep = pa.array(bound >= need)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
     # first round: one comparison a document
     often = met.filter(F.col("doc") != F.col("least")).groupBy("doc", "least").agg(F.count("*").alias("times"))
     first = often.groupBy(F.col("doc").alias("b")).agg(F.max_by("least", F.struct("times", -F.col("least"))).alias("a"))
-    one = components(scratch, linked(first), "one")
+    a, b = (points.select(F.col("doc").alias(x), F.col("n").alias(f"n{x}"), F.col("point").alias(f"p{x}")) for x in "ab")
+    first = first.join(b, "b").join(a, "a").select("a", "b", "na", "nb", "pa", "pb").mapInArrow(may_link, "a long, b long")
+    one = components(scratch, linked(scratch.save(first, "first"), "first"), "one")
 
     # second round: meetings of several components, each set of documents once
     placed = scratch.save(met.select("part", "doc").join(one.select(F.col("node").alias("doc"), "component"), "doc", "left").select("part", "doc", F.coalesce("component", "doc").alias("component")), "placed")
@@ -258,11 +330,11 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = 5, num
     seated = placed.join(open_, "part").withColumn("chunk", F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int"))
     dealt = seated.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     seats = dealt.select("part", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), F.col("chunk").alias("chunk"), "doc", "component")
-    seats = seats.join(sets.select("doc", "n", "point"), "doc").select("part", "low", "high", "chunk", "doc", "component", "n", "point")
+    seats = seats.join(points, "doc").select("part", "low", "high", "chunk", "doc", "component", "n", "point")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def answer(t: list[np.ndarray], points: list[bytes]) -> pa.RecordBatch:
-            a, b = _meeting_pairs(t[4], t[5], t[6], np.frombuffer(b"".join(points), "<u4").reshape(-1, GROUPS).astype(np.int64), (t[3] != t[1]).astype(np.int8), bool(t[1][0] != t[2][0]), threshold)
+            a, b = _meeting_pairs(t[4], t[5], t[6], folded([loaded(p) for p in points]), (t[3] != t[1]).astype(np.int8), bool(t[1][0] != t[2][0]), threshold)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         held: list[np.ndarray] | None = None
@@ -283,7 +355,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = 5, num
 
     near = seats.repartition(shuffle_partitions(spark), "part", "low", "high").sortWithinPartitions("part", "low", "high").mapInArrow(search, "a long, b long")
     near = scratch.save(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near")
-    more = linked(near).join(one.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(one.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+    more = linked(near, "near").join(one.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(one.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
     two = components(scratch, more.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), "two")
 
     found = members.join(one.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc", "n", F.coalesce("component", "rep").alias("node"))
