@@ -27,6 +27,7 @@ from pyspark.sql.window import Window
 
 from kinloom.llm.components import components
 from kinloom.llm.scratch import Scratch, shuffle_partitions
+from kinloom.llm.workers import release
 
 NO_ID = -(1 << 63)
 #: Coordinates of points: a power of two near a 16th of the set's size, between these.
@@ -237,6 +238,7 @@ def _meeting_pairs(doc: np.ndarray, comp: np.ndarray, size: np.ndarray, points:
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int, rows: int = 256) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
     """Documents, and the sets of their texts (second column) end to end with their sizes."""
+    release()
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             part = batch.slice(at, rows)

@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kinloom.llm.scratch import Scratch, shuffle_partitions
+from kinloom.llm.workers import release
 
 BLANK = b" \t\n\x0b\x0c\r"
 HOT_LINES = 4096
@@ -125,6 +126,7 @@ class LineShard:
 
 def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[tuple[list, list[bytes]]]:
     """Ids and texts as bytes; a null text is an empty one."""
+    release()
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             part = batch.slice(at, rows)

@@ -22,11 +22,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from kinloom.llm.workers import held
+
 BITS = 18
 MAX_ROWS = 6000
 #: Indicators of fewer training rows are left out.
 LEAST_ROWS = 4
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 600_000
 _RUNS = (re.compile(r"[A-ZÀ-ÖØ-Þ]+"), re.compile(r"[a-zß-öø-ÿ]+"), re.compile(r"[0-9]+"), re.compile(r"([^Aa0])\1+"))
 
 
@@ -187,7 +189,7 @@ def indicators_of(docs: DataFrame, *kept: str) -> DataFrame:
     n = len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Indicators()
+        own = held("indicators", Indicators)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -210,9 +212,6 @@ def learn_quality(docs: DataFrame, labels: DataFrame, may_learn: Column, max_row
     return fit([np.frombuffer(r["found"], "<i4") for r in rows], np.array([r["quality"] for r in rows], dtype=np.int64))
 
 
-_INDICATORS: list[Indicators] = []
-
-
 def score_quality(spark: SparkSession, docs: DataFrame, model: Model, *kept: str) -> DataFrame:
     """The ``kept`` columns of ``docs`` and ``score`` (0 to 1, higher: label 1 likelier), from the text alone.
 
@@ -223,9 +222,7 @@ def score_quality(spark: SparkSession, docs: DataFrame, model: Model, *kept: str
     n = len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not _INDICATORS:
-            _INDICATORS.append(Indicators())
-        own, model = _INDICATORS[0], shared.value
+        own, model = held("indicators", Indicators), shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)

@@ -2,47 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from kinloom.sources.scratch import Scratch, shared_dir, shuffle_partitions
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a local one only where that is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="kinloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-class Scratch:
-    """Parquet tables that cut lineage: a lost executor costs a reread, never a recomputation.
-
-    ``save`` writes a frame and gives back a frame that reads the written files, so that it survives the
-    loss of any executor.  ``drop`` removes a table which later steps don't read any more.
-    """
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/kinloom-{label}-{uuid.uuid4().hex}"
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, name: str) -> None:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(conf).delete(path, True)
-
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
-def columns_of(df: DataFrame, *wanted: str) -> DataFrame:
-    """Only the columns an operator reads, so that others can't clash with those it makes."""
-    return df.select(*wanted)
+__all__ = ["Scratch", "shared_dir", "shuffle_partitions"]

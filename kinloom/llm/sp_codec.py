@@ -28,6 +28,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from kinloom.llm.packing import as_bytes
 from kinloom.llm.sentencepieces import SPACE, Pieces, pieces
+from kinloom.llm.workers import held
 
 CACHE_WORDS = 500_000
 CACHE_CHARS = 48
@@ -249,9 +250,6 @@ class MergeEncoder:
         return out
 
 
-_ENCODERS: dict[tuple, MergeEncoder] = {}
-
-
 def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 0, turns: int = 4) -> DataFrame:
     """Adds ``ids`` (binary: unsigned 32-bit, little-endian) to doc_id and text of ``docs``.
 
@@ -262,10 +260,7 @@ def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 0
         raise ValueError("dropout must be from 0 to 1, turns from 0 to 256")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = (model_path, dropout, seed)
-        if own not in _ENCODERS:
-            _ENCODERS[own] = MergeEncoder(pieces(model_path), dropout, seed)
-        enc = _ENCODERS[own]
+        enc = held(("merges", model_path, dropout, seed), lambda: MergeEncoder(pieces(model_path), dropout, seed))
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)

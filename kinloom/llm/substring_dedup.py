@@ -16,6 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kinloom.llm.scratch import Scratch
+from kinloom.llm.workers import release
 
 NO_ID = -(1 << 63)
 CUTS = {"line": re.compile(rb"\n"), "paragraph": re.compile(rb"\n(?:[ \t\r\x0b\x0c]*\n)+")}
@@ -55,6 +56,7 @@ def dedup_units(spark: SparkSession, docs: DataFrame, unit: str = "line", min_wo
     rows = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), F.xxhash64("text").alias("mark"), *keep)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from kinloom.llm.sentencepieces import SPACE, pieces
+from kinloom.llm.workers import held
 
 CACHE_WORDS = 1_000_000
 CACHE_CHARS = 64
@@ -90,9 +91,6 @@ class CountingViterbi:
         return out
 
 
-_COUNTERS: dict[str, CountingViterbi] = {}
-
-
 def count_tokens(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, n_tokens: how many ids each text of ``docs`` has.
 
@@ -100,9 +98,7 @@ def count_tokens(docs: DataFrame, model_path: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if model_path not in _COUNTERS:
-            _COUNTERS[model_path] = CountingViterbi(unigram_vocabulary(model_path))
-        counter = _COUNTERS[model_path]
+        counter = held(("unigram", model_path), lambda: CountingViterbi(unigram_vocabulary(model_path)))
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
