@@ -43,6 +43,3 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def columns_of(df: DataFrame, *wanted: str) -> DataFrame:
-    """Only the columns an operator reads, so that others can't clash with those it makes."""
-    return df.select(*wanted)
