@@ -3,7 +3,9 @@
 Equal sets are classes, and one document stands for each.  A class's shingles are hashed into groups, and the group counts are
 its point; the overlap of two sets is at most the sum of the lesser counts.  Points that may be near each other are brought
 together by parts of sets: if two sets link, they differ in at most d shingles, so of d + 1 + SPARE parts, to which a hash deals the
-shingles, more than SPARE are equal in both.  Documents with an equal part meet.
+shingles, more than SPARE are equal in both.  Documents with an equal part meet.  Parts that are empty, or that many documents have (as
+passages make them), hardly tell anything: a document that has no more of either kind than their share of SPARE leaves them out, and
+still has an equal part left with each document that it links with.
 
 1. Of those that meet, each is compared with the least document it meets most often, and links are contracted to components.  This leaves
    one component of a group of near copies, however large.
@@ -30,12 +32,14 @@ from kinloom.llm.scratch import Scratch, shuffle_partitions
 from kinloom.llm.workers import release
 
 NO_ID = -(1 << 63)
-#: Coordinates of points: a power of two near a 16th of the set's size, between these.
-GROUPS = (64, 4096)
-#: Parts more than needed: a set with at most so many empty parts needn't send these.
-SPARE = 2
+#: Coordinates of points: the power of two over a quarter of the set's size, or this.
+GROUPS = 64
+#: Parts more than needed: a set with at most EMPTY empty parts needn't send these, and one with at most BUSY parts that more than CROWD
+#: documents have needn't meet at these.
+EMPTY, BUSY, CROWD = 2, 8, 32
+SPARE = EMPTY + BUSY
 #: Documents in a chunk of a large meeting, and in a leaf of the tree.
-CHUNK, LEAF = 1024, 16
+CHUNK, LEAF = 1024, 32
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0x94D049BB133111EB))
 
 
@@ -142,7 +146,7 @@ def bands(threshold: Threshold, most: int) -> list[int]:
     """Least sizes of the bands of set sizes; sets that link lie in one band or in two that follow each other."""
     out = [1]
     while out[-1] <= most:
-        out.append(max(out[-1] + 1, out[-1] * 3 // 2, threshold.largest_partner(out[-2] - 1) + 1 if len(out) > 1 else 0))
+        out.append(max(out[-1] + 1, out[-1] * 3 // 2, threshold.largest_partner(out[-1] - 1) + 1))
     return out
 
 
@@ -169,23 +173,24 @@ def parts(values: np.ndarray, sizes: np.ndarray, threshold: Threshold, band_of:
     filled = np.bincount(slot, minlength=len(total)) > 0
     of, number = spans(count)
     empty = count - np.add.reduceat(filled.astype(np.int64), first)
-    keep = filled | (empty > SPARE)[of]
+    keep = filled | (empty > EMPTY)[of]
     return mixed(total + number.astype(np.uint64) * _C + salt[of] * _D)[keep], doc[of[keep]]
 
 
-def point(own: np.ndarray) -> np.ndarray:
-    groups = min(max(1 << max(0, len(own) // 16).bit_length(), GROUPS[0]), GROUPS[1])
-    return np.bincount((own >> np.uint64(40)).astype(np.int64) & (groups - 1), minlength=groups)
+def point(own: np.ndarray) -> bytes:
+    """Counts of a set's groups, a byte each; where one is too large for that, there are more groups."""
+    groups = max(1 << (len(own) // 4).bit_length(), GROUPS)
+    while True:
+        counts = np.bincount((own >> np.uint64(40)).astype(np.int64) & (groups - 1), minlength=groups)
+        if counts.max() < 256:
+            return counts.astype(np.uint8).tobytes()
+        groups *= 2
 
 
-def folded(points: list[np.ndarray]) -> np.ndarray:
+def folded(points: list[bytes]) -> np.ndarray:
     """Points with as many coordinates as the shortest: groups that fall together are added up."""
     least = min(map(len, points))
-    return np.stack([p.reshape(-1, least).sum(axis=0) for p in points]).astype(np.int64)
-
-
-def loaded(point: bytes) -> np.ndarray:
-    return np.frombuffer(point, "<u4")
+    return np.stack([np.frombuffer(p, np.uint8).reshape(-1, least).sum(axis=0, dtype=np.int32) for p in points])
 
 
 class CountTree:
@@ -205,39 +210,40 @@ class CountTree:
         self.nodes.append((self.points[at].max(axis=0), int(self.sizes[at].min()), int(self.sizes[at].max()), below))
         return len(self.nodes) - 1
 
-    def search(self, point: np.ndarray, size: int, threshold: Threshold) -> np.ndarray:
-        """Numbers of the points whose bound on the overlap suffices for a link."""
-        found, todo = [], [self.root]
+    def search(self, points: np.ndarray, sizes: np.ndarray, threshold: Threshold) -> tuple[np.ndarray, np.ndarray]:
+        """(query, point) numbers of all pairs whose bound on the overlap suffices for a link.  The queries go down the tree together."""
+        asked, found, todo = [], [], [(self.root, np.arange(len(sizes)))]
         while todo:
-            most, least, largest, below = self.nodes[todo.pop()]
-            if least > threshold.largest_partner(size) or size > threshold.largest_partner(largest):
-                continue
-            if np.minimum(point, most).sum() < threshold.least_common(np.int64(size + least)):
+            at, own = todo.pop()
+            most, least, largest, below = self.nodes[at]
+            own = own[(least * threshold.num <= sizes[own] * threshold.den) & (sizes[own] * threshold.num <= largest * threshold.den)]
+            own = own[np.minimum(points[own], most).sum(axis=1) >= threshold.least_common(sizes[own] + least)]
+            if not len(own):
                 continue
             if isinstance(below, tuple):
-                todo += below
-            else:
-                bound = np.minimum(self.points[below], point).sum(axis=1)
-                found.append(below[bound >= threshold.least_common(self.sizes[below] + size)])
-        return np.concatenate(found) if found else np.zeros(0, np.int64)
+                todo += [(x, own) for x in below]
+                continue
+            for part in np.array_split(own, -(-len(own) // 128)):
+                bound = np.minimum(points[part][:, None, :], self.points[below][None, :, :]).sum(axis=2)
+                q, p = np.nonzero(bound >= threshold.least_common(sizes[part][:, None] + self.sizes[below][None, :]))
+                asked.append(part[q]), found.append(below[p])
+        return (np.concatenate(asked), np.concatenate(found)) if asked else (np.zeros(0, np.int64),) * 2
 
 
 def _meeting_pairs(doc: np.ndarray, comp: np.ndarray, size: np.ndarray, points: np.ndarray, half: np.ndarray, across: bool, threshold: Threshold) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of documents of different components that may link; ``across``: only those of both halves of two chunks."""
     first = np.flatnonzero(half == 0) if across else np.arange(len(doc))
-    if not len(first):
+    second = np.flatnonzero(half == 1) if across else first
+    if not len(first) or not len(second):
         return doc[:0], doc[:0]
-    tree = CountTree(points[first], size[first])
-    a, b = [], []
-    for i in np.flatnonzero(half == 1) if across else range(len(doc)):
-        near = first[tree.search(points[i], int(size[i]), threshold)]
-        near = near[(comp[near] != comp[i]) & ((doc[near] < doc[i]) | across)]
-        a.append(doc[near]), b.append(np.full(len(near), doc[i]))
-    return (np.concatenate(a), np.concatenate(b)) if a else (doc[:0], doc[:0])
+    q, p = CountTree(points[first], size[first]).search(points[second], size[second], threshold)
+    q, p = second[q], first[p]
+    keep = (comp[q] != comp[p]) & ((doc[p] < doc[q]) | across)
+    return doc[p[keep]], doc[q[keep]]
 
 
-def _sets(batches: Iterator[pa.RecordBatch], words: int, rows: int = 256) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
-    """Documents, and the sets of their texts (second column) end to end with their sizes."""
+def _sets(batches: Iterator[pa.RecordBatch], words: int, rows: int = 256) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows, and the sets of their texts (second column) end to end with their sizes."""
     release()
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
@@ -246,7 +252,7 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int, rows: int = 256) -> Ite
             offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
             buffer = text.buffers()[2]
             data = np.frombuffer(buffer, np.uint8)[offsets[0] : offsets[-1]] if buffer is not None and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
-            yield part.column(0), *shingle_sets(data, offsets - offsets[0], words)
+            yield part, *shingle_sets(data, offsets - offsets[0], words)
 
 
 def _each(values: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
@@ -258,53 +264,58 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = 5, num
 
     A row for each row: doc_id, n_shingles, component_id (the least doc_id reachable by links, its own included).  A text of fewer
     words has all of them as one shingle.  Null and empty texts, and those of blanks, have none and link with nothing.  Rows that
-    repeat an id are one document with the links of all of them.  A null id counts as the least one and is given as null.
+    repeat an id are one document, with the largest of their sets (then by digest).  A null id counts as the least one and is given as null.
     An empty table gives an empty one.  Other columns are not read.
     """
     if words < 1 or not 0 < num <= den:
         raise ValueError("words must be positive, and num / den over 0 and at most 1")
     threshold = Threshold(num, den)
     scratch = Scratch(spark, "jaccard")
-    keyed = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "text")
+    keyed = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "text", F.xxhash64("text").alias("mark"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc, values, sizes in _sets(batches, words):
+        for part, values, sizes in _sets(batches, words):
             sets = _each(values, sizes)
             h = np.frombuffer(b"".join([xxhash.xxh3_128_digest(s.tobytes()) for s in sets]), ">i8").astype(np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([doc, pa.array(sizes.astype(np.int64)), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array([point(s).astype("<u4").tobytes() for s in sets], pa.binary())], names=["doc", "n", "h1", "h2", "point"])
-
-    described = scratch.save(keyed.mapInArrow(describe, "doc long, n long, h1 long, h2 long, point binary"), "described")
-    filled = described.filter("n > 0")
-    classes = scratch.save(filled.groupBy("h1", "h2").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n")), "classes")
-    members = scratch.save(described.join(classes.select("h1", "h2", "rep"), ["h1", "h2"], "left").select("doc", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc")).alias("rep")), "members")
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(sizes.astype(np.int64)), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array([point(s) for s in sets], pa.binary())], names=["doc", "mark", "n", "h1", "h2", "point"])
+
+    described = scratch.save(keyed.mapInArrow(describe, "doc long, mark long, n long, h1 long, h2 long, point binary"), "described")
+    # one set for each document
+    own = described.groupBy("doc").agg(F.max(F.struct("n", "h1", "h2", "mark")).alias("o")).select("doc", "o.*")
+    own = scratch.save(own, "own")
+    classes = scratch.save(own.filter("n > 0").groupBy("h1", "h2").agg(F.min("doc").alias("rep"), F.max("n").alias("n")), "classes")
+    members = scratch.save(own.join(classes.select("h1", "h2", "rep"), ["h1", "h2"], "left").select("doc", "mark", F.when(F.col("n") > 0, F.col("rep")).alias("rep")), "members")
     most = classes.agg(F.max("n")).first()[0] or 1
     band_of = bands(threshold, threshold.largest_partner(most) + 1)
-    # documents that stand for no class needn't be read again
-    copies = scratch.save(members.filter((F.col("doc") != F.col("rep")) | (F.col("n") == 0)).select("doc").distinct(), "copies")
-    standing = keyed.join(copies, "doc", "left_anti")
+    # rows that stand for no class needn't be read again
+    stands = members.filter(F.col("doc") == F.col("rep")).select("doc", "mark")
+    others = scratch.save(described.select("doc", "mark").distinct().join(stands, ["doc", "mark"], "left_anti"), "others")
+    standing = keyed.join(others, ["doc", "mark"], "left_anti").select("doc", "text")
 
     def divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc, values, sizes in _sets(batches, words):
+        for part, values, sizes in _sets(batches, words):
             digests, owner = parts(values, sizes, threshold, band_of)
-            yield pa.RecordBatch.from_arrays([pa.array(digests.astype(np.int64)), doc.take(pa.array(owner))], names=["part", "doc"])
+            yield pa.RecordBatch.from_arrays([pa.array(digests.astype(np.int64)), part.column(0).take(pa.array(owner))], names=["part", "doc"])
 
     same = Window.partitionBy("part")
     sent = standing.mapInArrow(divide, "part long, doc long")
-    met = sent.select("part", "doc", F.min("doc").over(same).alias("least"), F.max("doc").over(same).alias("last")).filter(F.col("least") != F.col("last")).select("part", "doc", "least")
-    met = scratch.save(met, "met")
+    met = sent.select("part", "doc", F.min("doc").over(same).alias("least"), F.max("doc").over(same).alias("last"), F.count("*").over(same).alias("guests")).filter(F.col("least") != F.col("last"))
+    met = scratch.save(met.select("part", "doc", "least", (F.col("guests") > CROWD).alias("crowded")), "all-met")
+    bound_to = met.filter("crowded").groupBy("doc").agg(F.count("*").alias("times")).filter(F.col("times") > BUSY).select("doc", F.lit(True).alias("stays"))
+    met = scratch.save(met.join(bound_to, "doc", "left").filter(~F.col("crowded") | F.col("stays")).select("part", "doc", "least"), "met")
 
     ids = scratch.save(met.select("doc").distinct(), "ids")
-    points = scratch.save(filled.select("doc", "n", "point").join(ids, "doc", "left_semi").dropDuplicates(["doc"]), "points")
+    points = scratch.save(described.join(own.select("doc", "mark"), ["doc", "mark"], "left_semi").join(ids, "doc", "left_semi").select("doc", "n", "point").dropDuplicates(["doc"]), "points")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc, values, sizes in _sets(batches, words):
+        for part, values, sizes in _sets(batches, words):
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(values.astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([doc, lists], names=["doc", "shingles"])
+            yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["doc", "shingles"])
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs (a, b) that link, found on their sets; only texts of these pairs are read."""
         ends = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), f"{name}-ends")
-        sets = scratch.save(keyed.join(ends, "doc", "left_semi").mapInArrow(gather, "doc long, shingles array<long>"), f"{name}-sets")
+        sets = scratch.save(standing.join(ends, "doc", "left_semi").mapInArrow(gather, "doc long, shingles array<long>"), f"{name}-sets")
         a, b = (sets.select(F.col("doc").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
         common, both = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
         return pairs.join(b, "b").join(a, "a").filter(den * common >= num * (both - common)).select("a", "b").distinct()
@@ -314,7 +325,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = 5, num
             na, nb = (batch.column(i).to_numpy() for i in (2, 3))
             need = threshold.least_common(na + nb)
             pairs = zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())
-            bound = np.array([np.minimum(*folded([loaded(p), loaded(q)])).sum() for p, q in pairs], dtype=np.int64)
+            bound = np.array([np.minimum(*folded([p, q])).sum() for p, q in pairs], dtype=np.int64)
             keep = pa.array(bound >= need)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
@@ -336,7 +347,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = 5, num
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def answer(t: list[np.ndarray], points: list[bytes]) -> pa.RecordBatch:
-            a, b = _meeting_pairs(t[4], t[5], t[6], folded([loaded(p) for p in points]), (t[3] != t[1]).astype(np.int8), bool(t[1][0] != t[2][0]), threshold)
+            a, b = _meeting_pairs(t[4], t[5], t[6], folded(points), (t[3] != t[1]).astype(np.int8), bool(t[1][0] != t[2][0]), threshold)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         held: list[np.ndarray] | None = None
@@ -360,7 +371,8 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = 5, num
     more = linked(near, "near").join(one.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(one.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
     two = components(scratch, more.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), "two")
 
-    found = members.join(one.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc", "n", F.coalesce("component", "rep").alias("node"))
-    found = found.join(two, "node", "left").select("doc", "n", F.coalesce("component", "node").alias("component"))
+    found = members.select("doc", F.coalesce("rep", "doc").alias("rep")).join(one.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc", F.coalesce("component", "rep").alias("node"))
+    found = found.join(two, "node", "left").select("doc", F.coalesce("component", "node").alias("component"))
+    found = described.select("doc", "n").join(found, "doc")
     shown = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return found.select(shown("doc").alias("doc_id"), F.col("n").alias("n_shingles"), shown("component").alias("component_id"))
