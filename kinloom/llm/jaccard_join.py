@@ -2,9 +2,9 @@
 
 Equal sets are classes, and one document stands for each.  A class's shingles are hashed into groups, and the group counts are
 its point; the overlap of two sets is at most the sum of the lesser counts.  Points that may be near each other are brought
-together by parts of sets: if two sets link, they differ in at most d shingles, so of d + 1 + SPARE parts, to which a hash deals the
-shingles, more than SPARE are equal in both.  Documents with an equal part meet.  Parts that are empty, or that many documents have (as
-passages make them), hardly tell anything: a document that has no more of either kind than their share of SPARE leaves them out, and
+together by parts of sets: if two sets link, they differ in at most d shingles, so of d + 1 + s parts, to which a hash deals the
+shingles, more than s are equal in both.  Documents with an equal part meet.  Parts that are empty, or that many documents have (as
+passages make them), hardly tell anything: a document that has no more of either kind than their share of s leaves them out, and
 still has an equal part left with each document that it links with.
 
 1. Of those that meet, each is compared with the least document it meets most often, and links are contracted to components.  This leaves
@@ -24,7 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from kinloom.llm.components import components
@@ -32,12 +32,11 @@ from kinloom.llm.scratch import Scratch, shuffle_partitions
 from kinloom.llm.workers import release
 
 NO_ID = -(1 << 63)
-#: Coordinates of points: the power of two over a quarter of the set's size, or this.
-GROUPS = 64
-#: Parts more than needed: a set with at most EMPTY empty parts needn't send these, and one with at most BUSY parts that more than CROWD
+#: Coordinates of points: as many as the set has elements, up to this, or else a quarter of them; rounded up to a power of two.
+GROUPS = 256
+#: Parts more than needed: a set with at most EMPTY empty parts needn't send these, and one with at most ``busy`` parts that more than CROWD
 #: documents have needn't meet at these.
-EMPTY, BUSY, CROWD = 2, 8, 32
-SPARE = EMPTY + BUSY
+EMPTY, CROWD = 2, 32
 #: Documents in a chunk of a large meeting, and in a leaf of the tree.
 CHUNK, LEAF = 1024, 32
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0x94D049BB133111EB))
@@ -150,6 +149,19 @@ def bands(threshold: Threshold, most: int) -> list[int]:
     return out
 
 
+def busy(apart: int) -> int:
+    """How many parts of many documents a set may leave out, by how many shingles may differ in its band; short sets have large parts."""
+    return min(8, apart // 16)
+
+
+def busy_of(n: Column, threshold: Threshold, band_of: list[int]) -> Column:
+    """The same by a set's size."""
+    out = F.lit(busy(0))
+    for low, high in zip(band_of, band_of[1:]):
+        out = F.when(n >= low, F.lit(busy(threshold.most_apart(2 * (high - 1))))).otherwise(out)
+    return out
+
+
 def parts(values: np.ndarray, sizes: np.ndarray, threshold: Threshold, band_of: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Digests of the parts of sets laid end to end, for each set's own band and for the next one if it has partners there, and whose they are."""
     lows = np.array(band_of)
@@ -162,7 +174,7 @@ def parts(values: np.ndarray, sizes: np.ndarray, threshold: Threshold, band_of:
     doc, band = doc[useful], band[useful]
     if not len(doc):
         return np.zeros(0, np.uint64), doc
-    count = apart[band] + 1 + SPARE
+    count = apart[band] + 1 + EMPTY + np.minimum(8, apart[band] // 16)
     first = np.cumsum(count) - count
     owner, place = spans(sizes[doc])
     at = (np.cumsum(sizes) - sizes)[doc][owner] + place
@@ -179,7 +191,7 @@ def parts(values: np.ndarray, sizes: np.ndarray, threshold: Threshold, band_of:
 
 def point(own: np.ndarray) -> bytes:
     """Counts of a set's groups, a byte each; where one is too large for that, there are more groups."""
-    groups = max(1 << (len(own) // 4).bit_length(), GROUPS)
+    groups = max(1 << (len(own) // 4).bit_length(), min(1 << max(5, (len(own) - 1).bit_length()), GROUPS))
     while True:
         counts = np.bincount((own >> np.uint64(40)).astype(np.int64) & (groups - 1), minlength=groups)
         if counts.max() < 256:
@@ -301,7 +313,8 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = 5, num
     sent = standing.mapInArrow(divide, "part long, doc long")
     met = sent.select("part", "doc", F.min("doc").over(same).alias("least"), F.max("doc").over(same).alias("last"), F.count("*").over(same).alias("guests")).filter(F.col("least") != F.col("last"))
     met = scratch.save(met.select("part", "doc", "least", (F.col("guests") > CROWD).alias("crowded")), "all-met")
-    bound_to = met.filter("crowded").groupBy("doc").agg(F.count("*").alias("times")).filter(F.col("times") > BUSY).select("doc", F.lit(True).alias("stays"))
+    crowded = met.filter("crowded").groupBy("doc").agg(F.count("*").alias("times")).join(own.select("doc", "n"), "doc")
+    bound_to = crowded.filter(F.col("times") > busy_of(F.col("n"), threshold, band_of)).select("doc", F.lit(True).alias("stays"))
     met = scratch.save(met.join(bound_to, "doc", "left").filter(~F.col("crowded") | F.col("stays")).select("part", "doc", "least"), "met")
 
     ids = scratch.save(met.select("doc").distinct(), "ids")
