@@ -49,10 +49,10 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the texts into sequences of 4096 ids."""
+    """Packs the texts into sequences of 4096 ids.  Workers that have run the other stages have room for fewer words."""
     import public_tokenizers
 
-    return best_fit_pack(spark, docs, public_tokenizers.path("word_bpe_49k.json"))
+    return best_fit_pack(spark, docs, public_tokenizers.path("word_bpe_49k.json"), cache_words=200_000)
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near_copies", near_copies), ("passages", passages), ("packing", packing)]

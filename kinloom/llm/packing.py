@@ -46,13 +46,14 @@ class WordTokenizer:
     punctuation goes to the file's model in these two pieces, if the file cuts it so; any other goes through the whole tokenizer.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {}
+        self.cache_words = cache_words
         self.pieces: dict[str, bytes] = {"": b""}
         self.odd = regex.compile(_ODD_SPACE)
         self.plain = regex.compile("[ \t\n\r]+")
@@ -102,7 +103,7 @@ class WordTokenizer:
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.words(t) for t in texts]
         new = set().union(*cut).difference(self.known)
-        if len(self.known) + len(new) > CACHE_WORDS:
+        if len(self.known) + len(new) > self.cache_words:
             self.known.clear()
             self.pieces = {"": b""}
             new = set().union(*cut)
@@ -114,21 +115,21 @@ class WordTokenizer:
         return out
 
 
-def word_tokenizer(path: str) -> WordTokenizer:
+def word_tokenizer(path: str, cache_words: int = CACHE_WORDS) -> WordTokenizer:
     """One per worker process, with the words it knows."""
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    return held(("words", path), lambda: WordTokenizer(path))
+    return held(("words", path, cache_words), lambda: WordTokenizer(path, cache_words))
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS, end_id: int = END_ID) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS, end_id: int = END_ID, cache_words: int = CACHE_WORDS) -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32.  A null text is an empty one, which has the end id alone."""
     end = np.asarray([end_id], dtype="<u4").tobytes()
     width = 4 * max_tokens
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = word_tokenizer(tokenizer_path)
+        tok = word_tokenizer(tokenizer_path, cache_words)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -230,15 +231,15 @@ def ranked_by_length(pieces: DataFrame, chunks: int) -> DataFrame:
     return dealt.withColumn("own", own).join(first, ["length", "chunk"]).withColumn("rank", F.col("first") + F.col("own"))
 
 
-def best_fit_pack(spark: SparkSession, docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS, end_id: int = END_ID) -> DataFrame:
+def best_fit_pack(spark: SparkSession, docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS, end_id: int = END_ID, cache_words: int = CACHE_WORDS) -> DataFrame:
     """Packs every document of ``docs`` (doc_id, text) into sequences of at most ``max_tokens`` ids.
 
     A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.  Null and empty texts have the end id
     alone.  Rows that repeat a doc_id are packed each for itself.  An empty table gives an empty one.  Other columns of
-    ``docs`` are not read.
+    ``docs`` are not read.  ``cache_words``: how many words' ids a worker keeps.
     """
     scratch = Scratch(spark, "packing")
-    pieces = scratch.save(token_pieces(docs, tokenizer_path, max_tokens, end_id), "pieces")
+    pieces = scratch.save(token_pieces(docs, tokenizer_path, max_tokens, end_id, cache_words), "pieces")
     # at most max_tokens rows come to the driver, whatever the size of the corpus
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     runs, _ = plan_bins(histogram, max_tokens)
