@@ -296,7 +296,7 @@ def er_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinloom.plans.cascade import run_cascade
 
     x = Linkage(spark, sf_dir)
-    return run_cascade(x.scratch, x.records, x.truth(), CHANNEL_KS, CAP)
+    return run_cascade(x.scratch, x.records, x.truth(), {"joint": 3, "addr": 2, "name": 2, "joint_rev": 1}, CAP, most=4)
 
 
 def queries() -> dict[str, Query]:
