@@ -134,7 +134,8 @@ def topk_search(spark: SparkSession, vectors: DataFrame, is_query: Column, k: in
         for batch in batches:
             for i in range(batch.num_rows):
                 d, b, turn, ids, xs = (c[i].as_py() for c in batch.columns)
-                ids, xs = np.frombuffer(ids, "<i8").astype(np.int64), np.frombuffer(xs, "<i8").astype(np.int64).reshape(-1, d)
+                ids = np.frombuffer(ids, "<i8").astype(np.int64)
+                xs = np.frombuffer(xs, "<i8").astype(np.int64).reshape(len(ids), d)
                 if turn == 0:
                     at, block = (d, b), ImpactBlock(ids, xs)
                 elif at == (d, b):
