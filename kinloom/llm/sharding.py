@@ -69,7 +69,7 @@ def extendible_shards(spark: SparkSession, docs: DataFrame, limit_bytes: int, ke
     """Deals ``docs`` (``key``, doc_id, text) to shards of at most ``limit_bytes`` bytes of text.
 
     A row for each row: doc_id, shard (the hash bits of its bucket as 0s and 1s; after "+" those of a row number, where rows of one
-    hash had to be split), depth (bits in all), n_bytes, shard_bytes.  Null keys share a hash; null and empty texts have 0 bytes.
+    hash are over the limit), depth (bits in all), n_bytes, shard_bytes.  Null keys share a hash; null and empty texts have 0 bytes.
     A single row over the limit has a shard to itself, or shares it with rows that nothing tells from it.  An empty table gives an empty
     one.  Other columns are not read.
     """
