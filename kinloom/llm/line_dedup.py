@@ -251,5 +251,6 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, min_docs: int = 10, min_ch
 
     key = F.coalesce("doc_id", F.lit(NO_ID))
     types = dict(docs.dtypes)
-    joined = docs.select("doc_id", "text", key.alias("key"), *keep).join(found, "key", "left")
-    return joined.select("doc_id", "text", "found", *keep).mapInArrow(thin, ", ".join(["doc_id long, n_lines long, n_dropped long, text string", *(f"{c} {types[c]}" for c in keep)]))
+    found = found.withColumnsRenamed({"key": "_key", "found": "_found"})
+    joined = docs.select("doc_id", "text", key.alias("_key"), *keep).join(found, "_key", "left")
+    return joined.select("doc_id", "text", "_found", *keep).mapInArrow(thin, ", ".join(["doc_id long, n_lines long, n_dropped long, text string", *(f"{c} {types[c]}" for c in keep)]))

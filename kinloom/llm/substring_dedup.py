@@ -53,7 +53,7 @@ def dedup_units(spark: SparkSession, docs: DataFrame, unit: str = "line", min_wo
     if unit not in CUTS or min_words < 1:
         raise ValueError("unit must be line or paragraph, and min_words positive")
     scratch = Scratch(spark, "units")
-    rows = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), F.xxhash64("text").alias("mark"), *keep)
+    rows = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(NO_ID)).alias("_key"), F.xxhash64("text").alias("_mark"), *keep)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -67,7 +67,7 @@ def dedup_units(spark: SparkSession, docs: DataFrame, unit: str = "line", min_wo
                 h = np.frombuffer(b"".join(found), dtype=">i8").astype(np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(key, pa.int64()), pa.array(mark, pa.int64()), pa.array(place, pa.int32())], names=["h1", "h2", "key", "mark", "place"])
 
-    found = scratch.save(rows.select("key", "mark", "text").mapInArrow(digest, "h1 long, h2 long, key long, mark long, place int"), "digests")
+    found = scratch.save(rows.select("_key", "_mark", "text").mapInArrow(digest, "h1 long, h2 long, key long, mark long, place int"), "digests")
     here = F.struct("key", "mark", "place")
     repeated = found.groupBy("h1", "h2").agg(F.min(here).alias("first"), F.max(here).alias("last")).filter(F.col("first") != F.col("last")).select("h1", "h2", "first")
     gone = found.join(repeated, ["h1", "h2"]).filter(F.col("first") != here)
@@ -101,6 +101,7 @@ def dedup_units(spark: SparkSession, docs: DataFrame, unit: str = "line", min_wo
                 span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, span), pa.array(texts, pa.binary()).cast(pa.string()), *part.columns[3:]], names=["doc_id", "n_units", "n_removed", "spans", "text", *keep])
 
-    joined = rows.join(places, ["key", "mark"], "left").select("doc_id", "text", "places", *keep)
+    places = places.withColumnsRenamed({"key": "_key", "mark": "_mark", "places": "_places"})
+    joined = rows.join(places, ["_key", "_mark"], "left").select("doc_id", "text", "_places", *keep)
     types = dict(docs.dtypes)
     return joined.mapInArrow(cut, ", ".join(["doc_id long, n_units long, n_removed long, spans array<struct<start: long, end: long>>, text string", *(f"{c} {types[c]}" for c in keep)]))
