@@ -35,7 +35,7 @@ def read_lists(spark: SparkSession, path: str, header: str) -> tuple[DataFrame,
     """Well-formed rows (source1_entity_id, ids), and lines without a tab; blank lines and the header are left out."""
     lines = spark.read.text(path).filter((F.trim("value") != "") & (F.lower(F.trim("value")) != header.lower()))
     good = lines.filter(F.col("value").contains("\t"))
-    ids = F.filter(F.transform(F.split(F.split("value", "\t", 2)[1], ","), F.trim), lambda i: i != "")
+    ids = F.filter(F.transform(F.split(F.split("value", "\t", 2)[1], ","), lambda i: F.trim(i)), lambda i: i != "")
     return good.select(F.trim(F.split("value", "\t")[0]).alias("source1_entity_id"), ids.alias("ids")), lines.filter(~F.col("value").contains("\t"))
 
 
