@@ -293,10 +293,10 @@ def er_pair_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def er_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from kinloom.plans.cascade import run_cascade
+    from kinloom.plans.cascade import KS, run_cascade
 
     x = Linkage(spark, sf_dir)
-    return run_cascade(x.scratch, x.records, x.truth(), {"joint": 3, "addr": 2, "name": 2, "joint_rev": 1}, CAP, most=4)
+    return run_cascade(x.scratch, x.records, x.truth(), KS)
 
 
 def queries() -> dict[str, Query]:
