@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import re
 import sys
-import zlib
 from array import array
 from collections.abc import Iterator
 
@@ -124,7 +123,7 @@ def word_tokenizer(path: str, cache_words: int = CACHE_WORDS) -> WordTokenizer:
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS, end_id: int = END_ID, cache_words: int = CACHE_WORDS) -> DataFrame:
-    """A row for each piece: doc_id, piece, start, length, ids_crc32.  A null text is an empty one, which has the end id alone."""
+    """A row for each piece: doc_id, piece, start, length, ids (as ``as_bytes`` gives them).  A null text is an empty one, which has the end id alone."""
     end = np.asarray([end_id], dtype="<u4").tobytes()
     width = 4 * max_tokens
 
@@ -134,15 +133,15 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOK
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 ids, texts = part.column(0), [t or "" for t in part.column(1).to_pylist()]
-                doc, piece, start, length, crc = [], [], [], [], []
+                doc, piece, start, length, owns = [], [], [], [], []
                 for d, data in zip(ids.to_pylist(), tok.encode(texts)):
                     data += end
                     for p, b in enumerate(range(0, len(data), width)):
                         own = data[b : b + width]
-                        doc.append(d), piece.append(p), start.append(b // 4), length.append(len(own) // 4), crc.append(zlib.crc32(own))
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                        doc.append(d), piece.append(p), start.append(b // 4), length.append(len(own) // 4), owns.append(own)
+                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(owns, pa.binary())], names=["doc_id", "piece", "start", "length", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids binary")
 
 
 class CapacityTree:
@@ -227,14 +226,15 @@ def ranked_by_length(pieces: DataFrame, chunks: int) -> DataFrame:
     dealt = pieces.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(chunks)).cast("int"))
     counts = dealt.groupBy("length", "chunk").agg(F.count("*").alias("n"))
     first = counts.select("length", "chunk", (F.sum("n").over(Window.partitionBy("length").orderBy("chunk")) - F.col("n")).alias("first"))
-    own = F.row_number().over(Window.partitionBy("chunk", "length").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1
+    own = F.row_number().over(Window.partitionBy("chunk", "length").orderBy("doc_id", "piece", "start", F.crc32("ids"), "ids")) - 1
     return dealt.withColumn("own", own).join(first, ["length", "chunk"]).withColumn("rank", F.col("first") + F.col("own"))
 
 
 def best_fit_pack(spark: SparkSession, docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS, end_id: int = END_ID, cache_words: int = CACHE_WORDS) -> DataFrame:
     """Packs every document of ``docs`` (doc_id, text) into sequences of at most ``max_tokens`` ids.
 
-    A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.  Null and empty texts have the end id
+    A row for each piece: doc_id, piece, start, length, ids (little-endian unsigned 32-bit), ids_crc32, sequence_id, offset; the pieces
+    of a sequence_id, by offset, end to end are its ids.  Null and empty texts have the end id
     alone.  Rows that repeat a doc_id are packed each for itself.  An empty table gives an empty one.  Other columns of
     ``docs`` are not read.  ``cache_words``: how many words' ids a worker keeps.
     """
@@ -246,14 +246,14 @@ def best_fit_pack(spark: SparkSession, docs: DataFrame, tokenizer_path: str, max
     # the plan has the size of the histogram, not of the corpus
     shared = spark.sparkContext.broadcast(runs)
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # only lengths and ranks go to Python; ids wait in the JVM, where they may spill
+    @F.arrow_udf("struct<sequence_id: long, offset: long>")
+    def place(length: pa.Array, rank: pa.Array) -> pa.Array:
         plan = shared.value
         key = plan[:, 0] * (1 << 48) + plan[:, 1]
-        for batch in batches:
-            length, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "rank"))
-            at = np.searchsorted(key, length * (1 << 48) + rank, side="right") - 1
-            keep = [batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(plan[at, 2] + rank - plan[at, 1]), pa.array(plan[at, 3])], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+        lengths, ranks = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in (length, rank))
+        at = np.searchsorted(key, lengths * (1 << 48) + ranks, side="right") - 1
+        return pa.StructArray.from_arrays([pa.array(plan[at, 2] + ranks - plan[at, 1]), pa.array(plan[at, 3])], names=["sequence_id", "offset"])
 
-    ranked = ranked_by_length(pieces, 2 * shuffle_partitions(spark)).select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    ranked = ranked_by_length(pieces, 2 * shuffle_partitions(spark)).withColumn("place", place("length", "rank"))
+    return ranked.select("doc_id", "piece", "start", "length", "ids", F.crc32("ids").alias("ids_crc32"), "place.sequence_id", "place.offset")

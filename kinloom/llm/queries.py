@@ -20,7 +20,8 @@ def tokenizer_file(name: str) -> str:
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinloom.llm.packing import best_fit_pack
 
-    return best_fit_pack(spark, table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+    packed = best_fit_pack(spark, table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
 def op2_sentencepiece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,3 +76,16 @@ def test_empty_table_and_repeated_rows(spark):
     df = docs(spark, ["a b c"] * 300, ids=[5] * 300)
     rows = best_fit_pack(spark, df, PATH, max_tokens=16).collect()
     assert len({(r.sequence_id, r.offset) for r in rows}) == 300 and len({r.sequence_id for r in rows}) == 75
+
+
+def test_sequences_hold_the_ids_of_their_documents(spark):
+    texts = [*ODD, *(" ".join(words(n, n)) for n in (3, 50, 700)), "same " * 40, "same " * 40]
+    tok = Tokenizer.from_file(PATH)
+    found = best_fit_pack(spark, docs(spark, texts, extra=True), PATH, max_tokens=64).collect()
+    packed, whole = {}, {}
+    for r in sorted(found, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == len(packed.setdefault(r.sequence_id, []))
+        packed[r.sequence_id] += np.frombuffer(r.ids, "<u4").tolist()
+    for r in sorted(found, key=lambda r: (r.doc_id, r.piece)):
+        whole.setdefault(r.doc_id, []).extend(packed[r.sequence_id][r.offset : r.offset + r.length])
+    assert whole == {d: [*tok.encode(t or "", add_special_tokens=False).ids, 1] for d, t in enumerate(texts)}
