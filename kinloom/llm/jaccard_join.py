@@ -310,7 +310,8 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = 5, num
             yield pa.RecordBatch.from_arrays([pa.array(digests.astype(np.int64)), part.column(0).take(pa.array(owner))], names=["part", "doc"])
 
     same = Window.partitionBy("part")
-    sent = standing.mapInArrow(divide, "part long, doc long")
+    # rows that repeat a document are one guest: the second round tells meetings by size and XOR, which are those of sets only then
+    sent = standing.mapInArrow(divide, "part long, doc long").repartition(shuffle_partitions(spark), "part").dropDuplicates(["part", "doc"])
     met = sent.select("part", "doc", F.min("doc").over(same).alias("least"), F.max("doc").over(same).alias("last"), F.count("*").over(same).alias("guests")).filter(F.col("least") != F.col("last"))
     met = scratch.save(met.select("part", "doc", "least", (F.col("guests") > CROWD).alias("crowded")), "all-met")
     crowded = met.filter("crowded").groupBy("doc").agg(F.count("*").alias("times")).join(own.select("doc", "n"), "doc")

@@ -111,3 +111,16 @@ def test_components_of_chains_and_stars(spark):
     found = components(Scratch(spark, "t"), spark.createDataFrame(edges, "a long, b long"), "c")
     assert {(x.node, x.component) for x in found.collect()} == {(x, root(x)) for x in up}
     assert components(Scratch(spark, "t"), spark.createDataFrame([], "a long, b long"), "c").count() == 0
+
+
+def test_doubled_table_against_all_pairs(spark):
+    # two documents of a family link, but both most often meet a third one, which doesn't link; families are unrelated and alike in size
+    texts = []
+    for f in range(12):
+        core, two, a, b, c = ([f"{kind}{f}x{i}" for i in range(n)] for kind, n in (("core", 130), ("two", 8), ("a", 8), ("b", 12), ("c", 12)))
+        texts += [" ".join(core + a + b[:6] + c[:6]), " ".join(core + two + b), " ".join(core + two + c)]
+    ids, texts = [*range(len(texts))] * 2, texts * 2
+    expected = slow(ids, texts, 1, 85, 100)
+    assert sum(i != c for i, _, c in expected) == 24
+    found = j.jaccard_components(spark, docs(spark, texts, ids=ids), 1, 85, 100)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()) == expected
