@@ -55,3 +55,12 @@ def test_the_three_agendas_agree(rate):
 
 def test_empty_table(spark):
     assert decode(encode(docs(spark, []), PATH), PATH).count() == 0
+
+
+def test_query_keys_each_occurrence_apart(spark, tmp_path):
+    from kinloom.llm.queries import op2_sentencepiece_dropout
+    from tests.llm.common import docs
+
+    docs(spark, ["internationalization"] * 200).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = op2_sentencepiece_dropout(spark, str(tmp_path)).collect()
+    assert all(r.lossless for r in rows) and len({r.ids_crc32 for r in rows}) > 4
