@@ -129,9 +129,14 @@ SHARD_BYTES = 1 << 20
 
 
 def op8_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from kinloom.llm.sharding import extendible_shards
-
-    return extendible_shards(spark, table(spark, sf_dir, "documents"), SHARD_BYTES)
+    from kinloom.llm.scratch import Scratch
+    from kinloom.llm.sharding import extendible_shards, write_shards
+
+    path = f"{Scratch(spark, 'shard-files').root}/shards"
+    sharded = extendible_shards(spark, table(spark, sf_dir, "documents"), SHARD_BYTES)
+    write_shards(sharded, path)
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
+    return spark.read.schema(sharded.schema).parquet(path).select("doc_id", "shard", "depth", n_bytes, "shard_bytes")
 
 
 OP8_SQL = f"""

@@ -68,31 +68,39 @@ def _settle(scratch: Scratch, rows: DataFrame, limit: int, name: str) -> DataFra
 def extendible_shards(spark: SparkSession, docs: DataFrame, limit_bytes: int, key: str = "doc_id") -> DataFrame:
     """Deals ``docs`` (``key``, doc_id, text) to shards of at most ``limit_bytes`` bytes of text.
 
-    A row for each row: doc_id, shard (the hash bits of its bucket as 0s and 1s; after "+" those of a row number, where rows of one
+    A row for each row: doc_id, text, rid (its own number), shard (the hash bits of its bucket as 0s and 1s; after "+" those of a row number, where rows of one
     hash are over the limit), depth (bits in all), n_bytes, shard_bytes.  Null keys share a hash; null and empty texts have 0 bytes.
     A single row over the limit has a shard to itself, or shares it with rows that nothing tells from it.  An empty table gives an empty
-    one.  Other columns are not read.
+    one.  Other columns are not read.  ``write_shards`` makes files of the result.
     """
     if limit_bytes < 1:
         raise ValueError("limit_bytes must be positive")
     scratch = Scratch(spark, "shards")
     # the row number is written once, so later reads agree on it
-    rows = scratch.save(docs.select("doc_id", key_hash(F.col(key)).alias("h"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.monotonically_increasing_id().alias("rid")), "rows")
+    rows = scratch.save(docs.select("doc_id", "text", key_hash(F.col(key)).alias("h"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.monotonically_increasing_id().alias("rid")), "rows")
     bits = lambda h, depth: F.substring(F.lpad(F.bin(h), BITS, "0"), F.lit(1), depth)
-    found = _settle(scratch, rows, limit_bytes, "keys").withColumn("shard", bits(F.col("h"), F.col("depth")))
+    # shards are found without the texts, which come back by the row number
+    whole = lambda dealt: dealt.join(rows.select("rid", "text"), "rid").select("doc_id", "text", "rid", "shard", "depth", "n_bytes", "shard_bytes")
+    found = _settle(scratch, rows.drop("text"), limit_bytes, "keys").withColumn("shard", bits(F.col("h"), F.col("depth")))
     large = found.filter(F.col("shard_bytes") > limit_bytes)
     if large.isEmpty():
-        return found.select("doc_id", "shard", "depth", "n_bytes", "shard_bytes")
+        return whole(found)
     # rows of one hash: the bits go on with those of the row number
-    own = scratch.save(large.select("doc_id", F.concat("shard", F.lit("+")).alias("front"), F.col("depth").alias("before"), "n_bytes", F.shiftrightunsigned(F.xxhash64("rid"), 64 - BITS).alias("h2"), "h"), "single")
-    out = found.filter(F.col("shard_bytes") <= limit_bytes).select("doc_id", "shard", "depth", "n_bytes", "shard_bytes")
+    own = scratch.save(large.select("doc_id", "rid", F.concat("shard", F.lit("+")).alias("front"), F.col("depth").alias("before"), "n_bytes", F.shiftrightunsigned(F.xxhash64("rid"), 64 - BITS).alias("h2"), "h"), "single")
+    out = found.filter(F.col("shard_bytes") <= limit_bytes).select("doc_id", "rid", "shard", "depth", "n_bytes", "shard_bytes")
     for more in range(1, BITS + 1):
         at = F.shiftright("h2", BITS - more).alias("bucket")
         sums = own.groupBy("h", at).agg(F.sum("n_bytes").alias("shard_bytes"), (F.min("h2") == F.max("h2")).alias("single"))
         split = own.withColumn("bucket", at).join(sums, ["h", "bucket"])
         split = scratch.save(split.withColumn("fits", (F.col("shard_bytes") <= limit_bytes) | F.col("single")), f"single-{more}")
-        out = out.unionAll(split.filter("fits").select("doc_id", F.concat("front", bits(F.col("h2"), F.lit(more))), F.col("before") + more, "n_bytes", "shard_bytes"))
+        out = out.unionAll(split.filter("fits").select("doc_id", "rid", F.concat("front", bits(F.col("h2"), F.lit(more))), F.col("before") + more, "n_bytes", "shard_bytes"))
         own = split.filter(~F.col("fits")).drop("bucket", "shard_bytes", "single", "fits")
         if own.isEmpty():
             break
-    return out
+    return whole(out)
+
+
+def write_shards(sharded: DataFrame, path: str) -> None:
+    """Writes the rows of ``extendible_shards`` to ``path``, a folder with one Parquet file for each shard: ``file=s`` and the shard's label."""
+    named = sharded.withColumn("file", F.concat(F.lit("s"), "shard"))
+    named.repartition("file").write.partitionBy("file").parquet(path)

@@ -51,3 +51,21 @@ def test_rows_of_one_key_are_split(spark):
 def test_small_and_empty(spark):
     assert extendible_shards(spark, docs(spark, []), 10).count() == 0
     assert {(r.shard, r.depth) for r in extendible_shards(spark, docs(spark, ["a", None, ""], ids=[1, None, 1]), 10).collect()} == {("", 0)}
+
+
+def test_files_hold_the_rows_of_their_shards(spark, tmp_path):
+    import pathlib
+
+    from kinloom.llm.sharding import write_shards
+
+    texts = ["twelve bytes"] * 100 + [" ".join(words(20, k)) for k in range(60)] + [None, ""]
+    ids = [7] * 100 + [*range(100, 160)] + [None, 3]
+    write_shards(extendible_shards(spark, docs(spark, texts, extra=True, ids=ids), 600), f"{tmp_path}/shards")
+    rows = []
+    for d in pathlib.Path(f"{tmp_path}/shards").glob("file=*"):
+        assert len(list(d.glob("*.parquet"))) == 1
+        own = spark.read.parquet(str(d)).collect()
+        assert {f"file=s{r.shard}" for r in own} == {d.name} and sum(len((r.text or "").encode()) for r in own) <= 600
+        rows += own
+    assert len({r.rid for r in rows}) == len(texts)
+    assert sorted(((r.doc_id, r.text) for r in rows), key=repr) == sorted(zip(ids, texts), key=repr)
