@@ -79,25 +79,25 @@ def extendible_shards(spark: SparkSession, docs: DataFrame, limit_bytes: int, ke
     # the row number is written once, so later reads agree on it
     rows = scratch.save(docs.select("doc_id", "text", key_hash(F.col(key)).alias("h"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.monotonically_increasing_id().alias("rid")), "rows")
     bits = lambda h, depth: F.substring(F.lpad(F.bin(h), BITS, "0"), F.lit(1), depth)
-    # shards are found without the texts, which come back by the row number
-    whole = lambda dealt: dealt.join(rows.select("rid", "text"), "rid").select("doc_id", "text", "rid", "shard", "depth", "n_bytes", "shard_bytes")
-    found = _settle(scratch, rows.drop("text"), limit_bytes, "keys").withColumn("shard", bits(F.col("h"), F.col("depth")))
+    columns = ("doc_id", "text", "rid", "shard", "depth", "n_bytes", "shard_bytes")
+    found = _settle(scratch, rows, limit_bytes, "keys").withColumn("shard", bits(F.col("h"), F.col("depth")))
     large = found.filter(F.col("shard_bytes") > limit_bytes)
     if large.isEmpty():
-        return whole(found)
-    # rows of one hash: the bits go on with those of the row number
+        return found.select(*columns)
+    # rows of one hash: the bits go on with those of the row number, by which their texts come back
     own = scratch.save(large.select("doc_id", "rid", F.concat("shard", F.lit("+")).alias("front"), F.col("depth").alias("before"), "n_bytes", F.shiftrightunsigned(F.xxhash64("rid"), 64 - BITS).alias("h2"), "h"), "single")
-    out = found.filter(F.col("shard_bytes") <= limit_bytes).select("doc_id", "rid", "shard", "depth", "n_bytes", "shard_bytes")
+    out = None
     for more in range(1, BITS + 1):
         at = F.shiftright("h2", BITS - more).alias("bucket")
         sums = own.groupBy("h", at).agg(F.sum("n_bytes").alias("shard_bytes"), (F.min("h2") == F.max("h2")).alias("single"))
         split = own.withColumn("bucket", at).join(sums, ["h", "bucket"])
         split = scratch.save(split.withColumn("fits", (F.col("shard_bytes") <= limit_bytes) | F.col("single")), f"single-{more}")
-        out = out.unionAll(split.filter("fits").select("doc_id", "rid", F.concat("front", bits(F.col("h2"), F.lit(more))), F.col("before") + more, "n_bytes", "shard_bytes"))
+        done = split.filter("fits").select("doc_id", "rid", F.concat("front", bits(F.col("h2"), F.lit(more))).alias("shard"), (F.col("before") + more).alias("depth"), "n_bytes", "shard_bytes")
+        out = done if out is None else out.unionAll(done)
         own = split.filter(~F.col("fits")).drop("bucket", "shard_bytes", "single", "fits")
         if own.isEmpty():
             break
-    return whole(out)
+    return found.filter(F.col("shard_bytes") <= limit_bytes).select(*columns).unionAll(out.join(rows.select("rid", "text"), "rid").select(*columns))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
