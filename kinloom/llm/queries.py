@@ -25,10 +25,9 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sentencepiece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from kinloom.llm.sp_codec import decode, encode
+    from kinloom.llm.sp_codec import encode
 
-    path = tokenizer_file("piece_bpe_32k.model")
-    both = decode(encode(table(spark, sf_dir, "documents"), path, dropout=0.1, seed=17, turns=0), path)
+    both = encode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), dropout=0.1, seed=17, restored=True)
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"), F.sha2("decoded", 256).alias("decoded_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
 
 

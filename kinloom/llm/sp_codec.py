@@ -1,13 +1,13 @@
 """SentencePiece BPE encoding with seeded merge-dropout, and decoding.
 
 Encoding keeps an agenda of neighbouring symbols that make up a piece, best score first, then leftmost.  A candidate taken
-from it is skipped if a hash keyed by the seed, the turn, the word, its place and the piece falls under the dropout rate; a
-merge beside it may put its symbols on the agenda again, as part of other candidates.  Symbols that are no piece become
-byte pieces.
+from it is skipped if a hash keyed by the seed, the document, the word's number in it, the word, the place and the piece falls
+under the dropout rate; a merge beside it may put its symbols on the agenda again, as part of other candidates.  Symbols that
+are no piece become byte pieces.
 
 A word is a run of blanks with the characters after it; no piece has a blank after another character, so words merge for
-themselves.  The turn of a word is a hash of seed, document and the word's number in it, modulo ``turns``: a word has up to
-``turns`` segmentations in the corpus, and workers keep them.  ``turns=0`` gives each occurrence a turn of its own.
+themselves.  Workers keep words with the candidates that the agenda takes without dropout, and their ids.  An occurrence of
+which none of these candidates is skipped has those ids; each other one goes through its agenda for itself.
 
 The blank sign U+2581 of a text is written as its three bytes, so decoding restores every text.
 """
@@ -17,7 +17,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 from operator import add
 
 import numpy as np
@@ -26,12 +26,13 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from kinloom.llm.packing import as_bytes
-from kinloom.llm.sentencepieces import SPACE, Pieces, pieces
-from kinloom.llm.workers import held
+from kinloom.llm.sentencepieces import SPACE, Pieces
+from kinloom.llm.workers import held, sliced
 
-CACHE_WORDS = 500_000
-CACHE_CHARS = 48
+#: Words, and ids and candidates of words, that a worker keeps; when there are more it starts anew.
+CACHE_WORDS, CACHE_ITEMS = 150_000, 2_000_000
+#: The candidates of longer words aren't kept: some would be skipped at nearly every occurrence.
+PATH_CHARS = 48
 #: Up to this length a list does for the agenda of a word.
 SHORT = 24
 _MASK = (1 << 64) - 1
@@ -39,6 +40,39 @@ _WORD = re.compile(" *[^ ]+| +")
 _GONE = float("-inf")
 
 
+class Ragged:
+    """Rows of values, laid end to end."""
+
+    def __init__(self, values: np.ndarray, sizes: np.ndarray):
+        self.values, self.sizes = values, sizes
+        self.starts = np.cumsum(sizes) - sizes
+
+    @classmethod
+    def dealt(cls, parts: list[tuple], n: int, kind: type) -> Ragged:
+        """``n`` rows, of which each part has the ones of its numbers."""
+        if not parts:
+            return cls(np.zeros(0, kind), np.zeros(n, np.int64))
+        numbers = np.concatenate([np.asarray(k) for k, _ in parts])
+        where = np.empty(n, np.int64)
+        where[numbers] = np.arange(n)
+        return cls(np.concatenate([x.values for _, x in parts]), np.concatenate([x.sizes for _, x in parts])).taken(where)
+
+    def joined(self, other: Ragged) -> Ragged:
+        return Ragged(np.append(self.values, other.values), np.append(self.sizes, other.sizes))
+
+    def taken(self, at: np.ndarray) -> Ragged:
+        """The rows of these numbers."""
+        sizes = self.sizes[at]
+        ends = np.cumsum(sizes)
+        return Ragged(self.values[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)], sizes)
+
+    def grouped(self, counts: np.ndarray) -> Ragged:
+        """So many rows each become one."""
+        ends = np.append(0, np.cumsum(self.sizes))
+        rows = np.append(0, np.cumsum(counts))
+        return Ragged(self.values, np.diff(ends[rows]))
+
+
 class MergeEncoder:
     def __init__(self, vocabulary: Pieces, dropout: float, seed: int):
         # a blank is a plain " " here; the sign itself stays out of words and so becomes bytes
@@ -47,9 +81,9 @@ class MergeEncoder:
         self.byte_ids = vocabulary.byte_ids
         self.limit = int(dropout * (1 << 64))
         self.seed = seed & _MASK
-        self.known: dict[str, bytes] = {}
+        self.forget()
         # for many words at once: the piece of a character, and the piece of two neighbours by a table with open addressing
-        self.of_char = np.full(0x110000, -1, np.int64)
+        self.of_char = np.full(0x110000, -1, np.int32)
         for c, i in self.ids.items():
             if len(c) == 1:
                 self.of_char[ord(c)] = i
@@ -96,17 +130,20 @@ class MergeEncoder:
         x = (base ^ (left << 32 | piece) * 0x9E3779B97F4A7C15) & _MASK
         return (x ^ x >> 31) * 0xD6E8FEB86659FD93 & _MASK < min(self.limit, _MASK)
 
+    def key(self, word: str) -> int:
+        return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"), self.seed)
+
     def base(self, word: str, turn: int) -> int:
-        """What keys the hashes of a word's candidates."""
-        return (xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"), self.seed) + turn * 0x9E3779B97F4A7C15) & _MASK if self.limit else 0
+        """What keys the hashes of a word's candidates at an occurrence."""
+        return (self.key(word) + turn * 0x9E3779B97F4A7C15) & _MASK
 
-    def symbols(self, word: str, base: int) -> list[str]:
-        """The word cut into symbols after all merges."""
-        return self.short(word, base) if len(word) <= SHORT else self.long(word, base)
+    def symbols(self, word: str, base: int | None, path: list[int]) -> list[str]:
+        """The word cut into symbols after all merges; without a base nothing is skipped.  ``path`` gets the candidates taken."""
+        return self.short(word, base, path) if len(word) <= SHORT else self.long(word, base, path)
 
-    def short(self, word: str, base: int) -> list[str]:
+    def short(self, word: str, base: int | None, path: list[int]) -> list[str]:
         """The agenda is the list of each symbol's score with the next one, searched for its first maximum."""
-        get, ids, limit = self.score.get, self.ids, self.limit
+        get, ids, limit = self.score.get, self.ids, self.limit and base is not None
         symbol, place = list(word), list(range(len(word)))
         score = list(map(get, map(add, word, word[1:]), repeat(_GONE)))
         while score:
@@ -115,6 +152,7 @@ class MergeEncoder:
                 break
             i = score.index(best)
             merged = symbol[i] + symbol[i + 1]
+            path.append(place[i] << 32 | ids[merged])
             if limit and self.skipped(base, place[i], ids[merged]):
                 score[i] = _GONE
                 continue
@@ -126,9 +164,9 @@ class MergeEncoder:
                 score[i - 1] = get(symbol[i - 1] + merged, _GONE)
         return symbol
 
-    def long(self, word: str, base: int) -> list[str]:
+    def long(self, word: str, base: int | None, path: list[int]) -> list[str]:
         """The agenda is a heap; entries whose symbols have merged meanwhile are passed over."""
-        get, ids, limit = self.score.get, self.ids, self.limit
+        get, ids, limit = self.score.get, self.ids, self.limit and base is not None
         symbol, n = list(word), len(word)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         agenda: list[tuple[float, int, str]] = []
@@ -144,6 +182,7 @@ class MergeEncoder:
             j = after[i]
             if not symbol[i] or j >= n or len(symbol[i]) + len(symbol[j]) != len(both) or symbol[i] + symbol[j] != both:
                 continue  # one of the two has merged meanwhile
+            path.append(i << 32 | ids[both])
             if limit and self.skipped(base, i, ids[both]):
                 continue
             symbol[i], symbol[j] = both, ""
@@ -155,48 +194,54 @@ class MergeEncoder:
                 consider(before[i])
         return [s for s in symbol if s]
 
-    def word(self, word: str, base: int) -> bytes:
-        symbols, ids = self.symbols(word, base), self.ids
-        try:
-            return as_bytes([ids[s] for s in symbols])
-        except KeyError:
-            return as_bytes([i for s in symbols for i in ([ids[s]] if s in ids else [self.byte_ids[b] for b in s.encode("utf-8", "surrogatepass")])])
-
-    def words(self, words: list[str], turns: list[int]) -> list[bytes]:
-        """Ids of words, each at its turn.  Short words of known characters go through the merges all at once, the others one by one."""
-        out: list[bytes | None] = [None] * len(words)
-        bases = list(map(self.base, words, turns))
-        many = [k for k, w in enumerate(words) if len(w) <= SHORT and "\0" not in w]
-        for at in range(0, len(many), 20_000):
-            part = many[at : at + 20_000]
-            for k, own in zip(part, self.many([words[k] for k in part], [bases[k] for k in part])):
-                out[k] = own
-        return [self.word(w, b) if own is None else own for own, w, b in zip(out, words, bases)]
-
-    def many(self, words: list[str], bases: list[int]) -> list[bytes | None]:
-        """Ids of words of at most SHORT characters, None where one has a character that the tables don't know."""
-        chars = np.array(words, dtype=f"U{SHORT}").view(np.uint32).reshape(-1, SHORT)
-        chars = chars[:, : max(2, int((chars > 0).sum(axis=1).max(initial=0)))].astype(np.int64)
-        symbol = self.of_char[chars]
-        there = chars > 0
-        size = there.sum(axis=1)
-        good = ((symbol >= 0) | ~there).all(axis=1)
-        base = np.array(bases, dtype=np.uint64)
-        places = np.arange(chars.shape[1], dtype=np.int32)
+    def word(self, word: str, base: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and candidates of one word."""
+        path: list[int] = []
+        symbols, ids = self.symbols(word, base, path), self.ids
+        found = [i for s in symbols for i in ([ids[s]] if s in ids else [self.byte_ids[b] for b in s.encode("utf-8", "surrogatepass")])]
+        return np.array(found, np.uint32), np.array(path, np.uint64)
+
+    def words(self, words: list[str], bases: np.ndarray | None) -> tuple[Ragged, Ragged]:
+        """Ids and candidates of words.  Short words of known characters go through the merges all at once, by length, the others one by one."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(size, kind="stable")
+        short = int(np.searchsorted(size[order], SHORT, side="right"))
+        ids, paths, rest = [], [], [order[short:]]
+        for at in range(0, short, 8192):
+            part = order[at : min(at + 8192, short)]
+            own, path, good = self.many([words[k] for k in part.tolist()], None if bases is None else bases[part])
+            ids.append((part[good], own)), paths.append((part[good], path)), rest.append(part[~good])
+        for k in np.concatenate(rest).tolist():
+            own, path = self.word(words[k], None if bases is None else int(bases[k]))
+            ids.append(([k], Ragged(own, np.array([len(own)])))), paths.append(([k], Ragged(path, np.array([len(path)]))))
+        return Ragged.dealt(ids, len(words), np.uint32), Ragged.dealt(paths, len(words), np.uint64)
+
+    def many(self, words: list[str], bases: np.ndarray | None) -> tuple[Ragged, Ragged, np.ndarray]:
+        """Ids and candidates of words of at most SHORT characters, and which words have none but characters that the tables know."""
+        width = max(2, max(map(len, words)))
+        chars = np.array(words, dtype=f"U{width}").view(np.uint32).reshape(-1, width).astype(np.int64)
+        symbol = self.of_char[chars].astype(np.int64)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        places = np.arange(width, dtype=np.int32)
+        there = places < size[:, None]
+        good = ((symbol >= 0) & (chars > 0) | ~there).all(axis=1)
         after, before = np.tile(places + 1, (len(words), 1)), np.tile(places - 1, (len(words), 1))
         pair, score = np.full(symbol.shape, -1, np.int64), np.full(symbol.shape, _GONE, np.float32)
         r, i = np.nonzero(there[:, 1:] & good[:, None])
         pair[r, i] = both = self.joined(symbol[r, i], symbol[r, i + 1])
         score[r, i] = np.where(both >= 0, self.scores[both], _GONE)
         rows = np.arange(len(words))
+        whose, taken = [rows[:0]], [rows[:0].astype(np.uint64)]
         while len(rows):
-            i = score[rows].argmax(axis=1)  # the first of the best
-            live = score[rows, i] > _GONE
+            own = score[rows]
+            i = own.argmax(axis=1)  # the first of the best
+            live = own[np.arange(len(rows)), i] > _GONE
             rows, i = rows[live], i[live]
-            r = rows
-            if self.limit:
-                x = base[rows] ^ ((i << 32 | pair[rows, i]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                off = (x ^ x >> np.uint64(31)) * np.uint64(0xD6E8FEB86659FD93) < np.uint64(min(self.limit, _MASK))
+            r, key = rows, i.astype(np.uint64) << np.uint64(32) | pair[rows, i].astype(np.uint64)
+            if bases is None:
+                whose.append(rows), taken.append(key)
+            else:
+                off = self.hits(bases[rows], key)
                 score[rows[off], i[off]] = _GONE
                 r, i = rows[~off], i[~off]
             j = after[r, i]
@@ -211,9 +256,15 @@ class MergeEncoder:
             second = np.concatenate([k[more], i[less]])
             pair[row, first] = both = self.joined(symbol[row, first], symbol[row, second])
             score[row, first] = np.where(both >= 0, self.scores[both], _GONE)
-        data = symbol[there].astype("<u4").tobytes()
-        ends = (4 * there.sum(axis=1).cumsum()).tolist()
-        return [data[a:b] if g else None for a, b, g in zip([0, *ends[:-1]], ends, good.tolist())]
+        there &= good[:, None]
+        whose, taken = np.concatenate(whose), np.concatenate(taken)
+        order = np.argsort(whose, kind="stable")
+        return Ragged(symbol[there].astype(np.uint32), there.sum(axis=1)[good]), Ragged(taken[order], np.bincount(whose, minlength=len(words))[good]), good
+
+    def hits(self, bases: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """``skipped`` for many candidates, place and piece in one number."""
+        x = bases ^ (keys * np.uint64(0x9E3779B97F4A7C15))
+        return (x ^ x >> np.uint64(31)) * np.uint64(0xD6E8FEB86659FD93) < np.uint64(min(self.limit, _MASK))
 
     def cut(self, text: str) -> list[str]:
         """The words of a text without their first blank; one is put before the text."""
@@ -226,48 +277,99 @@ class MergeEncoder:
         x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
         return x ^ (x >> np.uint64(29))
 
-    def texts(self, texts: list[str | None], keys: list[int], turns: int) -> list[bytes | None]:
-        """Ids of texts whose documents have these 64-bit keys, as little-endian unsigned 32-bit bytes."""
-        if self.limit and not turns:
-            return [None if t is None else b"".join(self.words([" " + w for w in ws], self.turns(len(ws), k & _MASK).tolist())) if (ws := self.cut(t) if t else []) else b"" for t, k in zip(texts, keys)]
-        asked = []
-        for t, k in zip(texts, keys):
-            ws = self.cut(t) if t else []
-            # the turn as a character, in place of the blank, makes the word's key
-            own = (self.turns(len(ws), k & _MASK) % np.uint64(turns)).astype(np.uint8).tobytes().decode("latin-1") if self.limit else "\0" * len(ws)
-            asked.append(list(map(add, own, ws)))
-        known = self.known
-        new = set().union(*asked).difference(known)
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            new = set().union(*asked)
-        new = list(new)
-        known.update(zip(new, self.words([" " + a[1:] for a in new], [ord(a[0]) for a in new])))
-        out = [None if t is None else b"".join(map(known.__getitem__, a)) for t, a in zip(texts, asked)]
-        for a in new:
-            if len(a) > CACHE_CHARS:
-                del known[a]
-        return out
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.keys = np.zeros(0, np.uint64)
+        self.ids_of, self.path_of = Ragged(np.zeros(0, np.uint32), np.zeros(0, np.int64)), Ragged(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        self.plain = np.zeros(0, bool)
+
+    def learn(self, new: list[str]) -> None:
+        """Keeps words (without the blank in front) with what becomes of them if nothing is skipped."""
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+        new = [" " + w for w in new]
+        ids, path = self.words(new, None)
+        plain = np.fromiter((len(w) <= PATH_CHARS for w in new), bool, len(new))
+        self.ids_of, self.path_of = self.ids_of.joined(ids), self.path_of.joined(path)
+        self.keys = np.append(self.keys, np.fromiter(map(self.key, new), np.uint64, len(new)))
+        self.plain = np.append(self.plain, plain)
+
+    def texts(self, texts: list[str | None], keys: list[int]) -> Ragged:
+        """Ids of texts whose documents have these 64-bit keys; a null text has none."""
+        cut = [self.cut(t) if t else [] for t in texts]
+        counts = np.fromiter(map(len, cut), np.int64, len(cut))
+        if len(self.known) > CACHE_WORDS or len(self.ids_of.values) + len(self.path_of.values) > CACHE_ITEMS:
+            self.forget()
+        new = set().union(*cut).difference(self.known)
+        if new:
+            self.learn(list(new))
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64, int(counts.sum()))
+        if not self.limit:
+            return self.ids_of.taken(at).grouped(counts)
+        turns = np.concatenate([self.turns(n, k & _MASK) for n, k in zip(counts.tolist(), keys)]) if len(cut) else np.zeros(0, np.uint64)
+        bases = self.keys[at] + turns * np.uint64(0x9E3779B97F4A7C15)
+        # the occurrences of which no candidate is skipped
+        off = ~self.plain[at]
+        steps, first = np.where(off, 0, self.path_of.sizes[at]), self.path_of.starts[at]
+        for step in range(int(steps.max(initial=0))):
+            left = np.flatnonzero((steps > step) & ~off)
+            off[left] = self.hits(bases[left], self.path_of.values[first[left] + step])
+        again = np.flatnonzero(off)
+        if len(again):
+            names = list(self.known)
+            own, _ = self.words([" " + names[k] for k in at[again].tolist()], bases[again])
+            at[again] = len(names) + np.arange(len(again))
+            return self.ids_of.joined(own).taken(at).grouped(counts)
+        return self.ids_of.taken(at).grouped(counts)
+
+
+class Decoder:
+    """Texts of ids: what each piece shows, end to end."""
+
+    def __init__(self, vocabulary: Pieces):
+        shown = {i: p.replace(SPACE, " ").encode() for p, (i, _) in vocabulary.normal.items()} | {i: bytes([b]) for b, i in enumerate(vocabulary.byte_ids)}
+        parts = [shown.get(i, b"") for i in range(max(shown) + 1)]
+        self.parts = Ragged(np.frombuffer(b"".join(parts), np.uint8), np.fromiter(map(len, parts), np.int64, len(parts)))
+
+    def texts(self, ids: Ragged, nulls: np.ndarray) -> pa.Array:
+        """The blank put in front goes."""
+        if len(ids.values) and (int(ids.values.max()) >= len(self.parts.sizes) or not self.parts.sizes[ids.values].all()):
+            raise ValueError("some ids are no piece of the vocabulary")
+        shown = self.parts.taken(ids.values.astype(np.int64)).grouped(ids.sizes)
+        some = shown.sizes > 0
+        inner = np.ones(len(shown.values), bool)
+        inner[shown.starts[some]] = False
+        return as_array(Ragged(shown.values[inner], shown.sizes - some), nulls).cast(pa.string())
 
 
-def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 0, turns: int = 4) -> DataFrame:
-    """Adds ``ids`` (binary: unsigned 32-bit, little-endian) to doc_id and text of ``docs``.
+def as_array(rows: Ragged, nulls: np.ndarray) -> pa.Array:
+    """Binary values, each the little-endian bytes of a row."""
+    width = rows.values.dtype.itemsize
+    offsets = np.append(0, np.cumsum(rows.sizes * width)).astype(np.int64)
+    valid = pa.py_buffer(np.packbits(~nulls, bitorder="little").tobytes()) if nulls.any() else None
+    values = rows.values.astype(rows.values.dtype.newbyteorder("<"))
+    return pa.Array.from_buffers(pa.large_binary(), len(rows.sizes), [valid, pa.py_buffer(offsets), pa.py_buffer(values)]).cast(pa.binary())
+
+
+def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 0, restored: bool = False) -> DataFrame:
+    """Adds ``ids`` (binary: unsigned 32-bit, little-endian) to doc_id and text of ``docs``, and with ``restored`` also
+    ``decoded``, which ``decode`` would make of them.
 
     At dropout 0 the ids are those of SentencePiece itself, but for U+2581.  A null text has null ids, an empty one none.
-    The same seed, document id and text always give the same ids; a null id counts as one more id.  Other columns are not read.
+    The same seed, document id and text always give the same ids, so rows that repeat have the same; a null id counts as one more
+    id.  An empty table gives an empty one.  Other columns are not read.
     """
-    if not 0 <= dropout <= 1 or not 0 <= turns <= 256:
-        raise ValueError("dropout must be from 0 to 1, turns from 0 to 256")
+    if not 0 <= dropout <= 1:
+        raise ValueError("dropout must be from 0 to 1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = held(("merges", model_path, dropout, seed), lambda: MergeEncoder(pieces(model_path), dropout, seed))
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                ids = enc.texts(part.column(1).to_pylist(), part.column(2).to_pylist(), turns)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.binary())], names=["doc_id", "text", "ids"])
+        enc, dec = held(("merges", model_path, dropout, seed), lambda: (MergeEncoder(own := Pieces(model_path), dropout, seed), Decoder(own)))
+        for part in sliced(batches, 1):
+            nulls = part.column(1).is_null().to_numpy(zero_copy_only=False)
+            ids = enc.texts(part.column(1).to_pylist(), part.column(2).to_pylist())
+            made = [as_array(ids, nulls), *([dec.texts(ids, nulls)] if restored else [])]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *made], names=["doc_id", "text", "ids", "decoded"][: 2 + len(made)])
 
-    return docs.select("doc_id", "text", F.xxhash64("doc_id").alias("key")).mapInArrow(run, "doc_id long, text string, ids binary")
+    return docs.select("doc_id", "text", F.xxhash64("doc_id").alias("key")).mapInArrow(run, "doc_id long, text string, ids binary" + ", decoded string" * restored)
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
@@ -276,13 +378,10 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     at = names.index("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = pieces(model_path)
-        shown = {i: p.replace(SPACE, " ").encode() for p, (i, _) in vocabulary.normal.items()} | {i: bytes([b]) for b, i in enumerate(vocabulary.byte_ids)}
-        table = [shown.get(i) for i in range(max(shown) + 1)]
-        for batch in batches:
-            texts = []
-            for ids in batch.column(at).to_pylist():
-                texts.append(None if ids is None else b"".join([table[i] for i in np.frombuffer(ids, "<u4").tolist()])[1:])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary()).cast(pa.string())], names=[*names, "decoded"])
+        dec = held(("decoder", model_path), lambda: Decoder(Pieces(model_path)))
+        for part in sliced(batches, at):
+            own = part.column(at).to_pylist()
+            ids = Ragged(np.frombuffer(b"".join([x or b"" for x in own]), "<u4"), np.fromiter((len(x or b"") // 4 for x in own), np.int64, len(own)))
+            yield pa.RecordBatch.from_arrays([*part.columns, dec.texts(ids, np.fromiter((x is None for x in own), bool, len(own)))], names=[*names, "decoded"])
 
     return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField("decoded", StringType())]))
