@@ -13,70 +13,103 @@ Its size is fixed, 2 ** ``BITS`` weights, so it is broadcast.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from kinloom.llm.workers import held
+from kinloom.llm.workers import release, sliced
 
 BITS = 18
 MAX_ROWS = 6000
 #: Indicators of fewer training rows are left out.
 LEAST_ROWS = 4
-CACHE_WORDS = 600_000
-_RUNS = (re.compile(r"[A-ZÀ-ÖØ-Þ]+"), re.compile(r"[a-zß-öø-ÿ]+"), re.compile(r"[0-9]+"), re.compile(r"([^Aa0])\1+"))
-
-
-def shape(word: str) -> str:
-    for run, sign in zip(_RUNS, ("A", "a", "0", r"\1")):
-        word = run.sub(sign, word)
-    return word[:12]
-
-
-class Indicators:
-    """Hashed indicators of texts; keeps the hashes of words."""
-
-    def __init__(self):
-        self.known: dict[str, int] = {}
-        self.word, self.shape = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-
-    def learn(self, new: list[str]) -> None:
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
-            self.word, self.shape = self.word[:0], self.shape[:0]
-        at = len(self.known)
-        self.known.update(zip(new, range(at, at + len(new))))
-        self.word = np.append(self.word, np.fromiter((xxhash.xxh3_64_intdigest(w.lower()) for w in new), np.uint64, len(new)))
-        self.shape = np.append(self.shape, np.fromiter((xxhash.xxh3_64_intdigest(shape(w), 1) for w in new), np.uint64, len(new)))
-
-    def of(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Sorted distinct indicators of each text."""
-        cut = [t.split() if t else [] for t in texts]
-        new = set().union(*cut).difference(self.known)
-        if new:
-            if len(self.known) + len(new) > CACHE_WORDS:
-                new = set().union(*cut)
-            self.learn(list(new))
-        return [self.one(np.fromiter(map(self.known.__getitem__, ws), np.int64, len(ws))) for ws in cut]
-
-    def one(self, at: np.ndarray) -> np.ndarray:
-        w, s = self.word[at], self.shape[at]
-        a, b, c, d = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0x94D049BB133111EB))
-        parts = [w * a, s * b]
-        if len(at) > 1:
-            parts += [w[:-1] * b + w[1:] * c, s[:-1] * c + s[1:] * d]
-        if len(at) > 2:
-            parts.append(s[:-2] * a + s[1:-1] * d + s[2:] * c)
-        if len(at) > 4:
-            same = (at[1:] == at[:-1]).astype(np.uint64)
-            parts.append((same[:-3] + same[1:-2] * np.uint64(2) + same[2:-1] * np.uint64(4) + same[3:] * np.uint64(8) + np.uint64(77)) * d)
-        x = np.concatenate(parts)
-        return np.unique(((x ^ (x >> np.uint64(31))) * a >> np.uint64(64 - BITS)).astype(np.int32))
+_A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0x94D049BB133111EB))
+
+
+def _random(n: int) -> np.ndarray:
+    x = np.arange(1, n + 1, dtype=np.uint64) * _A
+    x = (x ^ (x >> np.uint64(32))) * _C
+    return (x ^ (x >> np.uint64(29))) * _D | np.uint64(1)
+
+
+#: What multiplies a character by its place in a word.
+_PLACE = _random(256)
+_BLANK = np.zeros(0x110000, bool)
+_BLANK[[c for c in range(0x3001) if chr(c).isspace()]] = True
+#: Capitals, small letters and digits in one class each; other characters are their own.
+_CLASS = np.arange(0x110000, dtype=np.uint32)
+for _first, _last, _sign in (("A", "Z", "A"), ("À", "Ö", "A"), ("Ø", "Þ", "A"), ("a", "z", "a"), ("ß", "ö", "a"), ("ø", "ÿ", "a"), ("0", "9", "0")):
+    _CLASS[ord(_first) : ord(_last) + 1] = ord(_sign)
+
+
+def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Characters of words end to end, the place where each word starts there, and how many words each text has."""
+    chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+    cuts = np.append(0, np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts))))
+    inner = ~_BLANK[chars]
+    fresh = np.append(True, ~inner[:-1])[: len(inner)]
+    fresh[cuts[cuts < len(inner)]] = True
+    first = np.flatnonzero(inner & fresh)
+    return chars[inner], np.cumsum(inner)[first] - 1, np.diff(np.searchsorted(first, cuts))
+
+
+def _hashes(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """64 bits for each run of values."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    sizes = np.diff(np.append(starts, len(values)))
+    place = np.arange(len(values)) - np.repeat(starts, sizes)
+    by = _PLACE[place & 255]
+    if int(sizes.max()) > 256:
+        by = by * (2 * (place >> 8) + 1).astype(np.uint64)
+    x = np.add.reduceat((values + np.uint32(1)).astype(np.uint64) * by, starts) + sizes.astype(np.uint64) * _B
+    x = (x ^ (x >> np.uint64(32))) * _C
+    return x ^ (x >> np.uint64(29))
+
+
+def word_hashes(texts: list[str]) -> np.ndarray:
+    """Of words in small letters, end to end."""
+    chars, starts, _ = _words([t.lower() for t in texts])
+    return _hashes(chars, starts)
+
+
+def shape_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Of the shapes of words, end to end, and how many words each text has."""
+    chars, starts, counts = _words(texts)
+    signs = _CLASS[chars]
+    kept = np.append(True, signs[1:] != signs[:-1])[: len(signs)]
+    kept[starts] = True
+    return _hashes(signs[kept], np.cumsum(kept)[starts] - 1 if len(starts) else starts), counts
+
+
+def indicators(texts: list[str | None]) -> list[np.ndarray]:
+    """Sorted distinct hashed indicators of each text; nothing is kept from one call to the next."""
+    texts = [t or "" for t in texts]
+    words = word_hashes(texts)
+    shapes, counts = shape_hashes(texts)
+    ends = np.cumsum(counts).tolist()
+    return [_of(words[a:b], shapes[a:b]) for a, b in zip([0, *ends], ends)]
+
+
+def _of(w: np.ndarray, s: np.ndarray) -> np.ndarray:
+    parts = [w * _A, s * _B]
+    if len(w) > 1:
+        parts += [w[:-1] * _B + w[1:] * _C, s[:-1] * _C + s[1:] * _D]
+    if len(w) > 2:
+        parts.append(s[:-2] * _A + s[1:-1] * _D + s[2:] * _C)
+    if len(w) > 4:
+        same = (w[1:] == w[:-1]).astype(np.uint64)
+        parts.append((same[:-3] + same[1:-2] * np.uint64(2) + same[2:-1] * np.uint64(4) + same[3:] * np.uint64(8) + np.uint64(77)) * _D)
+    x = np.concatenate(parts)
+    x = ((x ^ (x >> np.uint64(31))) * _A >> np.uint64(64 - BITS)).astype(np.int32)
+    if len(x) < 1 << (BITS - 4):
+        return np.unique(x)
+    seen = np.zeros(1 << BITS, bool)
+    seen[x] = True
+    return np.flatnonzero(seen).astype(np.int32)
 
 
 @dataclass
@@ -189,11 +222,9 @@ def indicators_of(docs: DataFrame, *kept: str) -> DataFrame:
     n = len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = held("indicators", Indicators)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array([x.astype("<i4").tobytes() for x in own.of(part.column(n).to_pylist())], pa.binary())], names=[*kept, "found"])
+        release()
+        for part in sliced(batches, n):
+            yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array([x.astype("<i4").tobytes() for x in indicators(part.column(n).to_pylist())], pa.binary())], names=[*kept, "found"])
 
     types = dict(docs.dtypes)
     return docs.select(*kept, "text").mapInArrow(run, ", ".join([*(f"{c} {types[c]}" for c in kept), "found binary"]))
@@ -220,16 +251,17 @@ def score_quality(spark: SparkSession, docs: DataFrame, model: Model, *kept: str
     """
     shared = spark.sparkContext.broadcast(model)
     n = len(kept)
+    at = kept.index("text") if "text" in kept else n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, model = held("indicators", Indicators), shared.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array(model.scores(own.of(part.column(n).to_pylist())))], names=[*kept, "score"])
+        release()
+        model = shared.value
+        for part in sliced(batches, at):
+            yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array(model.scores(indicators(part.column(at).to_pylist())))], names=[*kept, "score"])
 
     types = dict(docs.dtypes)
-    return docs.select(*kept, F.col("text").alias("scored_text")).mapInArrow(run, ", ".join([*(f"{c} {types[c]}" for c in kept), "score double"]))
+    read = docs.select(*kept) if at < n else docs.select(*kept, F.col("text").alias("scored_text"))
+    return read.mapInArrow(run, ", ".join([*(f"{c} {types[c]}" for c in kept), "score double"]))
 
 
 def held_out(doc_id: Column) -> Column:

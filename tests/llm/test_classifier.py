@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kinloom.llm.quality_classifier import Indicators, dual_coordinate_descent, fit, held_out, learn_quality, log_count_ratios, logistic_curve, score_quality
+from kinloom.llm.quality_classifier import BITS, dual_coordinate_descent, fit, held_out, indicators, learn_quality, log_count_ratios, logistic_curve, score_quality, shape_hashes, word_hashes
 from tests.llm.common import ODD, docs
 
 DATA = "/root/testdata/sf0.1"
@@ -60,10 +60,45 @@ def test_held_out_accuracy(spark):
 
 def test_scores_depend_on_the_text_alone(spark):
     rows = ["good clean words here"] * 8 + ["BAD!! WORDS!! HERE!!"] * 8
-    own = Indicators()
-    model = fit(own.of(rows), np.array([1] * 8 + [0] * 8))
+    model = fit(indicators(rows), np.array([1] * 8 + [0] * 8))
     df = docs(spark, [*ODD, *rows, *ODD], extra=True)
     found = {r.doc_id: r.score for r in score_quality(spark, df, model, "doc_id").collect()}
     n = len(ODD)
     assert all(0 <= s <= 1 for s in found.values()) and all(found[i] == found[i + n + 16] for i in range(n))
     assert found[n] > found[n + 8] and found[0] == found[1] == found[2]
+
+
+def test_words_and_shapes():
+    texts = ["The the THE", "", "  a\u00a0b ", "Ab12!!x Qrs345!z Äöß\u3000É", "x" * 700 + " y"]
+    w = word_hashes(texts)
+    s, counts = shape_hashes(texts)
+    assert counts.tolist() == [len(t.split()) for t in texts] and len(w) == len(s) == counts.sum()
+    assert w[0] == w[1] == w[2] and s[0] != s[1] != s[2] and w[3] != w[4] and s[3] == s[4]
+    assert s[5] == s[6] and s[7] == s[0] and s[8] == s[2] and len(indicators([texts[4]])[0]) > 3
+
+
+def test_scores_against_brute_force(spark):
+    """Margins by sums over sets made of the words' hashes one by one."""
+    texts = [*ODD, *(" ".join(f"w{(i * j) % 7}{'X' * (j % 3)}" for j in range(i)) for i in range(1, 40))] * 2
+    labels = np.array([i % 2 for i in range(len(texts))])
+    model = fit(indicators(texts), labels)
+    m = (1 << 64) - 1
+    a, b, c, d = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0x94D049BB133111EB
+
+    def slow(text):
+        ws = (text or "").split()
+        w = [int(word_hashes([x])[0]) for x in ws]
+        s = [int(shape_hashes([x])[0][0]) for x in ws]
+        raw = [x * a for x in w] + [x * b for x in s] + [w[i] * b + w[i + 1] * c for i in range(len(w) - 1)] + [s[i] * c + s[i + 1] * d for i in range(len(w) - 1)]
+        raw += [s[i] * a + s[i + 1] * d + s[i + 2] * c for i in range(len(w) - 2)]
+        same = [int(x == y) for x, y in zip(w, w[1:])]
+        raw += [(sum(same[i + k] << k for k in range(4)) + 77) * d for i in range(len(same) - 3)]
+        own = {(((x & m) ^ (x & m) >> 31) * a & m) >> (64 - BITS) for x in raw}
+        r = np.array([model.ratios[i] for i in own])
+        margin = model.bias + (sum(model.weights[i] for i in own) / np.sqrt(r @ r) if len(own) and r.any() else 0)
+        return 1 / (1 + np.exp(-(model.slope * margin + model.shift)))
+
+    df = docs(spark, texts, ids=[None, *range(len(texts) - 2), 3])
+    found = score_quality(spark, df, model, "doc_id", "text").collect()
+    assert len(found) == len(texts) and all(abs(r.score - slow(r.text)) < 1e-4 for r in found)
+    assert score_quality(spark, docs(spark, []), model, "doc_id").count() == 0
