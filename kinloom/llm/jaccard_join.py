@@ -1,17 +1,18 @@
 """Exact Jaccard join of texts by their word shingles, and its connected components.
 
 Equal sets are classes, and one document stands for each.  A class's shingles are hashed into groups, and the group counts are
-its point; the overlap of two sets is at most the sum of the lesser counts.  Points that may be near each other are brought
-together by parts of sets: if two sets link, they differ in at most d shingles, so of d + 1 + s parts, to which a hash deals the
-shingles, more than s are equal in both.  Documents with an equal part meet.  Parts that are empty, or that many documents have (as
-passages make them), hardly tell anything: a document that has no more of either kind than their share of s leaves them out, and
-still has an equal part left with each document that it links with.
-
-1. Of those that meet, each is compared with the least document it meets most often, and links are contracted to components.  This leaves
-   one component of a group of near copies, however large.
-2. Where a meeting still holds several components, an R-tree over the points, bulk-loaded, gives the pairs of different components whose
-   bound on the overlap suffices.  Large meetings are dealt to chunks, and each pair of chunks is a task of its own.
-3. All pairs that survive the bound are verified on the sets, and the links contract the components once more.
+its point; the overlap of two sets is at most the sum of the lesser counts.  Points of unrelated texts don't cluster, so one tree
+over all of them would prune nothing; points that may be near each other first meet at tokens.  Shingles are put in one order for
+all sets: those that many documents hold last, as far as a bounded list tells, then by hash.  A set has to hold a share of any
+partner's shingles, so of two sets that link, both have a common shingle among the first of theirs that this share leaves over;
+documents meet at these.  Meetings of the same documents are held once.
+
+1. An R-tree over the points of a meeting, bulk-loaded, gives for its documents in turn those whose bound on the overlap suffices.
+   Each is led by the first such one, and is compared with the leader that it has most often; links are contracted to components.
+   Large meetings are dealt to chunks, whose leaders meet once more.  This leaves one component of a group of near copies, however large.
+2. Where a meeting still holds several components, the trees give all pairs of different components whose bound suffices.  Documents
+   of its largest component meet the others alone, chunk by chunk.
+3. The pairs are verified on the sets, and the links contract the components once more.
 
 No link is lost: a pair that isn't compared lies in one component already.
 """
@@ -24,19 +25,18 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from kinloom.llm.components import components
 from kinloom.llm.scratch import Scratch, shuffle_partitions
-from kinloom.llm.workers import release
+from kinloom.llm.workers import release, sliced
 
 NO_ID = -(1 << 63)
-#: Coordinates of points: as many as the set has elements, up to this, or else a quarter of them; rounded up to a power of two.
+#: Coordinates of points: this many, or else a quarter of the set's size, rounded up to a power of two.
 GROUPS = 256
-#: Parts more than needed: a set with at most EMPTY empty parts needn't send these, and one with at most ``busy`` parts that more than CROWD
-#: documents have needn't meet at these.
-EMPTY, CROWD = 2, 32
+#: How many of the most frequent shingles are put last, at most; shingles that are found ``OFTEN`` times among ``COUNTED`` of a task are counted for that.
+HOT, OFTEN, COUNTED = 1 << 19, 3, 2_000_000
 #: Documents in a chunk of a large meeting, and in a leaf of the tree.
 CHUNK, LEAF = 1024, 32
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0x94D049BB133111EB))
@@ -129,69 +129,64 @@ class Threshold:
     num: int
     den: int
 
-    def most_apart(self, sizes: int) -> int:
-        """The largest symmetric difference of two sets that link and have so many elements together."""
-        return (self.den - self.num) * sizes // (self.den + self.num)
-
     def least_common(self, sizes: np.ndarray) -> np.ndarray:
         """The least intersection of two sets that link and have so many elements together."""
         return -(-self.num * sizes // (self.den + self.num))
 
-    def largest_partner(self, n: int) -> int:
-        return n * self.den // self.num
-
-
-def bands(threshold: Threshold, most: int) -> list[int]:
-    """Least sizes of the bands of set sizes; sets that link lie in one band or in two that follow each other."""
-    out = [1]
-    while out[-1] <= most:
-        out.append(max(out[-1] + 1, out[-1] * 3 // 2, threshold.largest_partner(out[-1] - 1) + 1))
-    return out
-
-
-def busy(apart: int) -> int:
-    """How many parts of many documents a set may leave out, by how many shingles may differ in its band; short sets have large parts."""
-    return min(8, apart // 16)
-
-
-def busy_of(n: Column, threshold: Threshold, band_of: list[int]) -> Column:
-    """The same by a set's size."""
-    out = F.lit(busy(0))
-    for low, high in zip(band_of, band_of[1:]):
-        out = F.when(n >= low, F.lit(busy(threshold.most_apart(2 * (high - 1))))).otherwise(out)
-    return out
-
-
-def parts(values: np.ndarray, sizes: np.ndarray, threshold: Threshold, band_of: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Digests of the parts of sets laid end to end, for each set's own band and for the next one if it has partners there, and whose they are."""
-    lows = np.array(band_of)
-    apart = np.array([threshold.most_apart(2 * (high - 1)) for high in band_of[1:]])
-    doc = np.flatnonzero(sizes > 0)
-    band = np.searchsorted(lows, sizes[doc], side="right") - 1
-    up = lows[band + 1] <= sizes[doc] * threshold.den // threshold.num
-    doc, band = np.concatenate([doc, doc[up]]), np.concatenate([band, band[up] + 1])
-    useful = apart[band] > 0  # else only equal sets link
-    doc, band = doc[useful], band[useful]
-    if not len(doc):
-        return np.zeros(0, np.uint64), doc
-    count = apart[band] + 1 + EMPTY + np.minimum(8, apart[band] // 16)
-    first = np.cumsum(count) - count
-    owner, place = spans(sizes[doc])
-    at = (np.cumsum(sizes) - sizes)[doc][owner] + place
-    salt = mixed((band + 1).astype(np.uint64) * _B)
-    slot = (mixed(values[at] ^ salt[owner]) % count.astype(np.uint64)[owner]).astype(np.int64) + first[owner]
-    total = np.zeros(int(count.sum()), np.uint64)
-    np.add.at(total, slot, mixed(values + _A)[at])
-    filled = np.bincount(slot, minlength=len(total)) > 0
-    of, number = spans(count)
-    empty = count - np.add.reduceat(filled.astype(np.int64), first)
-    keep = filled | (empty > EMPTY)[of]
-    return mixed(total + number.astype(np.uint64) * _C + salt[of] * _D)[keep], doc[of[keep]]
+    def prefix(self, n: np.ndarray) -> np.ndarray:
+        """How many shingles of a set of ``n`` hold one of each partner's first, if both are in one order."""
+        return n - -(-self.num * n // self.den) + 1
+
+
+class Hot:
+    """Frequent shingles in order, and about how many documents hold them."""
+
+    def __init__(self, shingles: np.ndarray, times: np.ndarray):
+        order = np.argsort(shingles)
+        self.shingles, self.times = shingles[order], times[order]
+
+    def of(self, values: np.ndarray) -> np.ndarray:
+        """What is known of the times of each value, 0 if nothing is."""
+        if not len(self.shingles):
+            return np.zeros(len(values), np.int64)
+        at = np.minimum(np.searchsorted(self.shingles, values), len(self.shingles) - 1)
+        return np.where(self.shingles[at] == values, self.times[at], 0)
+
+
+def tokens(values: np.ndarray, sizes: np.ndarray, threshold: Threshold, hot: Hot) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first shingles of sets laid end to end, the numbers of their sets, and what is known of the times of each."""
+    owner, place = spans(sizes)
+    times = hot.of(values)
+    # within a set by times, then by hash as they are
+    level = np.ceil(np.log2(times + 1)).astype(np.int64)
+    order = np.argsort(owner * 64 + level, kind="stable")
+    kept = order[place < threshold.prefix(sizes)[owner]]
+    return values[kept], owner[kept], times[kept]
+
+
+class Frequent:
+    """Counts shingles of a task's sets, so many at a time."""
+
+    def __init__(self):
+        self.held: list[np.ndarray] = []
+        self.n = 0
+
+    def add(self, values: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        self.held.append(values)
+        self.n += len(values)
+        if self.n >= COUNTED:
+            yield self.counted()
+
+    def counted(self) -> tuple[np.ndarray, np.ndarray]:
+        found, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.held]), return_counts=True)
+        self.held, self.n = [], 0
+        often = times >= OFTEN
+        return found[often], times[often]
 
 
 def point(own: np.ndarray) -> bytes:
     """Counts of a set's groups, a byte each; where one is too large for that, there are more groups."""
-    groups = max(1 << (len(own) // 4).bit_length(), min(1 << max(5, (len(own) - 1).bit_length()), GROUPS))
+    groups = max(1 << (len(own) // 4).bit_length(), GROUPS)
     while True:
         counts = np.bincount((own >> np.uint64(40)).astype(np.int64) & (groups - 1), minlength=groups)
         if counts.max() < 256:
@@ -242,7 +237,25 @@ class CountTree:
         return (np.concatenate(asked), np.concatenate(found)) if asked else (np.zeros(0, np.int64),) * 2
 
 
-def _meeting_pairs(doc: np.ndarray, comp: np.ndarray, size: np.ndarray, points: np.ndarray, half: np.ndarray, across: bool, threshold: Threshold) -> tuple[np.ndarray, np.ndarray]:
+def leaders(doc: np.ndarray, size: np.ndarray, points: np.ndarray, threshold: Threshold) -> np.ndarray:
+    """The document that leads each: the first in turn whose tree search finds it, or itself."""
+    tree, leader = CountTree(points, size), np.full(len(doc), -1)
+    left, step = np.argsort(doc, kind="stable"), 8
+    while len(left):
+        asked = left[:step]
+        q, p = tree.search(points[asked], size[asked], threshold)
+        order = np.argsort(q, kind="stable")
+        cuts = np.searchsorted(q[order], np.arange(len(asked) + 1))
+        for k, at in enumerate(asked.tolist()):
+            if leader[at] < 0:
+                found = p[order[cuts[k] : cuts[k + 1]]]
+                leader[found[leader[found] < 0]] = at
+                leader[at] = at
+        left, step = left[leader[left] < 0], min(2 * step, 256)
+    return doc[leader]
+
+
+def meeting_pairs(doc: np.ndarray, comp: np.ndarray, size: np.ndarray, points: np.ndarray, half: np.ndarray, across: bool, threshold: Threshold) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of documents of different components that may link; ``across``: only those of both halves of two chunks."""
     first = np.flatnonzero(half == 0) if across else np.arange(len(doc))
     second = np.flatnonzero(half == 1) if across else first
@@ -254,17 +267,35 @@ def _meeting_pairs(doc: np.ndarray, comp: np.ndarray, size: np.ndarray, points:
     return doc[p[keep]], doc[q[keep]]
 
 
-def _sets(batches: Iterator[pa.RecordBatch], words: int, rows: int = 256) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def by_key(batches: Iterator[pa.RecordBatch], keys: int, numbers: int) -> Iterator[tuple[list[np.ndarray], list[bytes]]]:
+    """The rows of each key (the first ``keys`` columns, in order): ``numbers`` columns of integers, and the points in the next one."""
+    held: list[np.ndarray] | None = None
+    held_points: list[bytes] = []
+    for batch in batches:
+        cols = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(numbers)]
+        points = batch.column(numbers).to_pylist()
+        if held is not None:
+            cols, points = [np.concatenate(x) for x in zip(held, cols)], held_points + points
+        new, at = np.zeros(max(0, len(points) - 1), bool), 0
+        for c in cols[:keys]:
+            new |= np.diff(c) != 0
+        for end in (np.flatnonzero(new) + 1).tolist():
+            yield [c[at:end] for c in cols], points[at:end]
+            at = end
+        held, held_points = [c[at:] for c in cols], points[at:]
+    if held is not None and len(held_points):
+        yield held, held_points
+
+
+def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Rows, and the sets of their texts (second column) end to end with their sizes."""
     release()
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            part = batch.slice(at, rows)
-            text = pa.concat_arrays([part.column(1).cast(pa.large_binary()).fill_null(b"")])
-            offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
-            buffer = text.buffers()[2]
-            data = np.frombuffer(buffer, np.uint8)[offsets[0] : offsets[-1]] if buffer is not None and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
-            yield part, *shingle_sets(data, offsets - offsets[0], words)
+    for part in sliced(batches, 1):
+        text = pa.concat_arrays([part.column(1).cast(pa.large_binary()).fill_null(b"")])
+        offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+        buffer = text.buffers()[2]
+        data = np.frombuffer(buffer, np.uint8)[offsets[0] : offsets[-1]] if buffer is not None and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
+        yield part, *shingle_sets(data, offsets - offsets[0], words)
 
 
 def _each(values: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
@@ -286,37 +317,56 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = 5, num
     keyed = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "text", F.xxhash64("text").alias("mark"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc", "mark", "n", "h1", "h2", "point", "shingle", "times"]
+        frequent = Frequent()
+
+        def counts(found: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
+            none = [pa.nulls(len(found), pa.int64())] * 5
+            return pa.RecordBatch.from_arrays([*none, pa.nulls(len(found), pa.binary()), pa.array(found.astype(np.int64)), pa.array(times.astype(np.int64))], names=names)
+
         for part, values, sizes in _sets(batches, words):
             sets = _each(values, sizes)
             h = np.frombuffer(b"".join([xxhash.xxh3_128_digest(s.tobytes()) for s in sets]), ">i8").astype(np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(sizes.astype(np.int64)), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array([point(s) for s in sets], pa.binary())], names=["doc", "mark", "n", "h1", "h2", "point"])
-
-    described = scratch.save(keyed.mapInArrow(describe, "doc long, mark long, n long, h1 long, h2 long, point binary"), "described")
+            none = [pa.nulls(len(sets), pa.int64())] * 2
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(sizes.astype(np.int64)), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array([point(s) for s in sets], pa.binary()), *none], names=names)
+            for found in frequent.add(values):
+                yield counts(*found)
+        yield counts(*frequent.counted())
+
+    both = scratch.save(keyed.mapInArrow(describe, "doc long, mark long, n long, h1 long, h2 long, point binary, shingle long, times long"), "described")
+    described = both.filter("doc IS NOT NULL").select("doc", "mark", "n", "h1", "h2", "point")
     # one set for each document
     own = described.groupBy("doc").agg(F.max(F.struct("n", "h1", "h2", "mark")).alias("o")).select("doc", "o.*")
     own = scratch.save(own, "own")
     classes = scratch.save(own.filter("n > 0").groupBy("h1", "h2").agg(F.min("doc").alias("rep"), F.max("n").alias("n")), "classes")
     members = scratch.save(own.join(classes.select("h1", "h2", "rep"), ["h1", "h2"], "left").select("doc", "mark", F.when(F.col("n") > 0, F.col("rep")).alias("rep")), "members")
-    most = classes.agg(F.max("n")).first()[0] or 1
-    band_of = bands(threshold, threshold.largest_partner(most) + 1)
     # rows that stand for no class needn't be read again
     stands = members.filter(F.col("doc") == F.col("rep")).select("doc", "mark")
     others = scratch.save(described.select("doc", "mark").distinct().join(stands, ["doc", "mark"], "left_anti"), "others")
     standing = keyed.join(others, ["doc", "mark"], "left_anti").select("doc", "text")
+    # at most HOT rows come to the driver and are broadcast
+    often = both.filter("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "shingle").limit(HOT).toArrow()
+    shared = spark.sparkContext.broadcast(Hot(often["shingle"].to_numpy().astype(np.uint64), often["times"].to_numpy()))
 
     def divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = shared.value
         for part, values, sizes in _sets(batches, words):
-            digests, owner = parts(values, sizes, threshold, band_of)
-            yield pa.RecordBatch.from_arrays([pa.array(digests.astype(np.int64)), part.column(0).take(pa.array(owner))], names=["part", "doc"])
-
-    same = Window.partitionBy("part")
-    # rows that repeat a document are one guest: the second round tells meetings by size and XOR, which are those of sets only then
-    sent = standing.mapInArrow(divide, "part long, doc long").repartition(shuffle_partitions(spark), "part").dropDuplicates(["part", "doc"])
-    met = sent.select("part", "doc", F.min("doc").over(same).alias("least"), F.max("doc").over(same).alias("last"), F.count("*").over(same).alias("guests")).filter(F.col("least") != F.col("last"))
-    met = scratch.save(met.select("part", "doc", "least", (F.col("guests") > CROWD).alias("crowded")), "all-met")
-    crowded = met.filter("crowded").groupBy("doc").agg(F.count("*").alias("times")).join(own.select("doc", "n"), "doc")
-    bound_to = crowded.filter(F.col("times") > busy_of(F.col("n"), threshold, band_of)).select("doc", F.lit(True).alias("stays"))
-    met = scratch.save(met.join(bound_to, "doc", "left").filter(~F.col("crowded") | F.col("stays")).select("part", "doc", "least"), "met")
+            found, owner, times = tokens(values, sizes, threshold, hot)
+            docs = part.column(0).to_numpy().astype(np.int64)[owner]
+            salts = -(-times // CHUNK) + (times == 0)
+            salt = (mixed(docs.astype(np.uint64)) % salts.astype(np.uint64)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(salt), pa.array(salts > 1), pa.array(docs)], names=["token", "salt", "large", "doc"])
+
+    # a token of many documents is dealt to salts, and a salt with one document in it still counts
+    same = Window.partitionBy("token", "salt")
+    sent = standing.mapInArrow(divide, "token long, salt int, large boolean, doc long").repartition(shuffle_partitions(spark), "token", "salt")
+    met = sent.withColumns({"least": F.min("doc").over(same), "last": F.max("doc").over(same)}).filter("large OR least != last").select("token", "salt", "large", "doc")
+    met = scratch.save(met.distinct(), "all-met")
+    # of meetings of the same documents one is held
+    guests = met.groupBy("token").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("doc")).alias("x1"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("x2"))
+    held = scratch.save(guests.filter("size > 1").groupBy("size", "x1", "x2").agg(F.min("token").alias("token")).select("token"), "held")
+    met = scratch.save(met.join(held, "token", "left_semi"), "met")
+    scratch.drop("all-met")
 
     ids = scratch.save(met.select("doc").distinct(), "ids")
     points = scratch.save(described.join(own.select("doc", "mark"), ["doc", "mark"], "left_semi").join(ids, "doc", "left_semi").select("doc", "n", "point").dropDuplicates(["doc"]), "points")
@@ -332,58 +382,49 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = 5, num
         sets = scratch.save(standing.join(ends, "doc", "left_semi").mapInArrow(gather, "doc long, shingles array<long>"), f"{name}-sets")
         a, b = (sets.select(F.col("doc").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
         common, both = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
-        return pairs.join(b, "b").join(a, "a").filter(den * common >= num * (both - common)).select("a", "b").distinct()
-
-    def may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            na, nb = (batch.column(i).to_numpy() for i in (2, 3))
-            need = threshold.least_common(na + nb)
-            pairs = zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())
-            bound = np.array([np.minimum(*folded([p, q])).sum() for p, q in pairs], dtype=np.int64)
-            keep = pa.array(bound >= need)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
-
-    # first round: one comparison a document
-    often = met.filter(F.col("doc") != F.col("least")).groupBy("doc", "least").agg(F.count("*").alias("times"))
-    first = often.groupBy(F.col("doc").alias("b")).agg(F.max_by("least", F.struct("times", -F.col("least"))).alias("a"))
-    a, b = (points.select(F.col("doc").alias(x), F.col("n").alias(f"n{x}"), F.col("point").alias(f"p{x}")) for x in "ab")
-    first = first.join(b, "b").join(a, "a").select("a", "b", "na", "nb", "pa", "pb").mapInArrow(may_link, "a long, b long")
-    one = components(scratch, linked(scratch.save(first, "first"), "first"), "one")
-
-    # second round: meetings of several components, each set of documents once
-    placed = scratch.save(met.select("part", "doc").join(one.select(F.col("node").alias("doc"), "component"), "doc", "left").select("part", "doc", F.coalesce("component", "doc").alias("component")), "placed")
-    meetings = placed.groupBy("part").agg(F.min("component").alias("least"), F.max("component").alias("last"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("doc")).alias("x1"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("x2"))
-    open_ = scratch.save(meetings.filter(F.col("least") != F.col("last")).groupBy("size", "x1", "x2").agg(F.min("part").alias("part")).select("part", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks")), "open")
-    seated = placed.join(open_, "part").withColumn("chunk", F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int"))
-    dealt = seated.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    seats = dealt.select("part", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), F.col("chunk").alias("chunk"), "doc", "component")
-    seats = seats.join(points, "doc").select("part", "low", "high", "chunk", "doc", "component", "n", "point")
+        return scratch.save(pairs.join(b, "b").join(a, "a").filter(den * common >= num * (both - common)).select("a", "b").distinct(), f"{name}-links")
+
+    # first round: leaders, in the chunks of a meeting and then among the leaders of its chunks
+    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, points in by_key(batches, 2, 4):
+            found = leaders(t[2], t[3], folded(points), threshold)
+            yield pa.RecordBatch.from_arrays([pa.array(t[0]), pa.array(found), pa.array(t[2])], names=["token", "a", "b"])
+
+    def led(guests: DataFrame, name: str) -> DataFrame:
+        seats = guests.join(points, "doc").select("token", "salt", "doc", "n", "point").repartition(shuffle_partitions(spark), "token", "salt")
+        return scratch.save(seats.sortWithinPartitions("token", "salt", "doc").mapInArrow(lead, "token long, a long, b long"), name)
+
+    first = led(met.select("token", "salt", "doc"), "led")
+    large = met.filter("large").select("token").distinct()
+    again = led(first.filter("a = b").join(large, "token", "left_semi").select("token", F.lit(0).alias("salt"), F.col("a").alias("doc")), "led-again")
+    times = first.unionAll(again).filter("a != b").groupBy("b", "a").agg(F.count("*").alias("times"))
+    pairs = scratch.save(times.groupBy("b").agg(F.max_by("a", F.struct("times", -F.col("a"))).alias("a")).select("a", "b"), "first")
+    one = components(scratch, linked(pairs, "first"), "one")
+
+    # second round: meetings of several components; chunks of the largest one meet the others, which all meet each other
+    placed = scratch.save(met.select("token", "doc").join(one.select(F.col("node").alias("doc"), "component"), "doc", "left").select("token", "doc", F.coalesce("component", "doc").alias("component")), "placed")
+    sizes = placed.groupBy("token", "component").agg(F.count("*").alias("size"))
+    sums = sizes.groupBy("token").agg(F.max_by("component", F.struct("size", -F.col("component"))).alias("main"), F.max("size").alias("most"), F.sum("size").alias("size")).filter("size > most")
+    chunks = lambda size: F.ceil(size / F.lit(CHUNK)).cast("int")
+    open_ = scratch.save(sums.select("token", "main", chunks(F.col("size") - F.col("most")).alias("others"), chunks(F.col("most")).alias("mains")), "open")
+    salt = F.xxhash64("doc")
+    seated = placed.join(open_, "token").withColumn("chunk", F.when(F.col("component") == F.col("main"), F.col("others") + F.pmod(salt, F.col("mains"))).otherwise(F.pmod(salt, F.col("others"))).cast("int"))
+    last = F.when(F.col("chunk") < F.col("others"), F.col("others") + F.col("mains")).otherwise(F.col("others")) - 1
+    dealt = seated.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    seats = dealt.select("token", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "doc", "component")
+    seats = seats.join(points, "doc").select("token", "low", "high", "chunk", "doc", "component", "n", "point")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def answer(t: list[np.ndarray], points: list[bytes]) -> pa.RecordBatch:
-            a, b = _meeting_pairs(t[4], t[5], t[6], folded(points), (t[3] != t[1]).astype(np.int8), bool(t[1][0] != t[2][0]), threshold)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-        held: list[np.ndarray] | None = None
-        held_points: list[bytes] = []
-        for batch in batches:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(7)]
-            points = batch.column(7).to_pylist()
-            if held is not None:
-                cols, points = [np.concatenate(x) for x in zip(held, cols)], held_points + points
-            new = np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0) | (np.diff(cols[2]) != 0)) + 1
-            at = 0
-            for end in new.tolist():
-                yield answer([c[at:end] for c in cols], points[at:end])
-                at = end
-            held, held_points = [c[at:] for c in cols], points[at:]
-        if held is not None and len(held[0]):
-            yield answer(held, held_points)
-
-    near = seats.repartition(shuffle_partitions(spark), "part", "low", "high").sortWithinPartitions("part", "low", "high").mapInArrow(search, "a long, b long")
+        for t, points in by_key(batches, 3, 7):
+            a, b = meeting_pairs(t[4], t[5], t[6], folded(points), (t[3] != t[1]).astype(np.int8), bool(t[1][0] != t[2][0]), threshold)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    near = seats.repartition(shuffle_partitions(spark), "token", "low", "high").sortWithinPartitions("token", "low", "high").mapInArrow(search, "a long, b long")
     near = scratch.save(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near")
     more = linked(near, "near").join(one.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(one.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
     two = components(scratch, more.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), "two")
+    for name in ("met", "points", "led", "led-again", "placed", "first-sets", "near-sets"):
+        scratch.drop(name)
 
     found = members.select("doc", F.coalesce("rep", "doc").alias("rep")).join(one.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc", F.coalesce("component", "rep").alias("node"))
     found = found.join(two, "node", "left").select("doc", F.coalesce("component", "node").alias("component"))

@@ -46,10 +46,10 @@ def families(seed, n, size, edits):
     return out
 
 
-@pytest.mark.parametrize(("k", "num", "den", "chunk", "crowd"), [(4, 85, 100, 1024, 32), (5, 4, 5, 1024, 2), (2, 1, 2, 4, 3), (1, 9, 10, 3, 1)])
-def test_against_all_pairs(spark, monkeypatch, k, num, den, chunk, crowd):
-    monkeypatch.setattr(j, "CHUNK", chunk)
-    monkeypatch.setattr(j, "CROWD", crowd)
+@pytest.mark.parametrize(("k", "num", "den", "chunk", "hot", "often"), [(4, 85, 100, 1024, 1 << 19, 3), (5, 4, 5, 1024, 0, 3), (2, 1, 2, 4, 9, 2), (1, 9, 10, 3, 1 << 19, 1)])
+def test_against_all_pairs(spark, monkeypatch, k, num, den, chunk, hot, often):
+    for name, value in (("CHUNK", chunk), ("HOT", hot), ("OFTEN", often)):
+        monkeypatch.setattr(j, name, value)
     texts = [*ODD, *families(k, 25, 12, 8)]
     ids = [3 * i + 7 for i in range(len(texts))]
     found = j.jaccard_components(spark, docs(spark, texts, extra=True, ids=ids), k, num, den)
@@ -70,20 +70,36 @@ def test_null_and_repeated_ids(spark):
     assert j.jaccard_components(spark, docs(spark, [None, "", " "])).count() == 3
 
 
-def test_linked_sets_share_a_part_and_pass_the_bound():
+def test_linked_sets_share_a_token_and_pass_the_bound():
     g = np.random.default_rng(0)
     for _ in range(1500):
         a = np.unique(g.integers(0, 1 << 62, int(g.integers(1, 150))).astype(np.uint64))
         b = np.unique(np.concatenate([a[g.permutation(len(a))[int(g.integers(0, 9)) :]], g.integers(0, 1 << 62, int(g.integers(0, 9))).astype(np.uint64)]))
         common = len(np.intersect1d(a, b))
-        for t in (j.Threshold(85, 100), j.Threshold(4, 5), j.Threshold(1, 2)):
-            if len(b) and common < len(a) + len(b) - common and t.den * common >= t.num * (len(a) + len(b) - common):
-                band = j.bands(t, 400)
-                pa, pb = (j.parts(x, np.array([len(x)]), t, band)[0] for x in (a, b))
-                assert len(np.intersect1d(pa, pb))
+        some = np.unique(np.concatenate([a, b]))[:: int(g.integers(1, 4))]
+        hot = j.Hot(some, g.integers(1, 5000, len(some)))
+        for t in (j.Threshold(85, 100), j.Threshold(4, 5), j.Threshold(1, 2), j.Threshold(1, 1)):
+            if len(b) and t.den * common >= t.num * (len(a) + len(b) - common):
+                ta, tb = (j.tokens(x, np.array([len(x)]), t, hot)[0] for x in (a, b))
+                assert len(np.intersect1d(ta, tb))
                 assert np.minimum(*j.folded([j.point(a), j.point(b)])).sum() >= t.least_common(np.int64(len(a) + len(b)))
 
 
+def test_leaders_lead_what_the_bound_allows():
+    g = np.random.default_rng(5)
+    points = g.poisson(2, (300, 64))
+    points[100:] = np.maximum(points[g.integers(0, 100, 200)] + g.integers(-1, 2, (200, 64)) * (g.random((200, 64)) < 0.05), 0)
+    sizes, doc, t = points.sum(axis=1), g.permutation(300) * 3, j.Threshold(4, 5)
+    led = j.leaders(doc, sizes, points, t)
+    at = {d: i for i, d in enumerate(doc.tolist())}
+    heads = set(led.tolist())
+    assert all(led[at[h]] == h for h in heads) and len(heads) < 200
+    may = lambda a, b: np.minimum(points[a], points[b]).sum() >= t.least_common(sizes[a] + sizes[b])
+    assert all(d == h or h < d and may(at[h], at[d]) for d, h in zip(doc.tolist(), led.tolist()))
+    near = lambda a, b: may(a, b) and t.num * max(sizes[a], sizes[b]) <= t.den * min(sizes[a], sizes[b])
+    assert not any(a < b and near(at[a], at[b]) for a in heads for b in heads)
+
+
 def test_tree_finds_what_the_bound_allows():
     g = np.random.default_rng(3)
     points = g.poisson(3, (300, 64))
@@ -95,7 +111,7 @@ def test_tree_finds_what_the_bound_allows():
     for i in range(0, 300, 7):
         bound = np.minimum(points, points[i]).sum(axis=1)
         allowed = set(np.flatnonzero(bound >= t.least_common(sizes + sizes[i])).tolist())
-        needed = {x for x in allowed if sizes[x] <= t.largest_partner(int(sizes[i])) and sizes[i] <= t.largest_partner(int(sizes[x]))}
+        needed = {x for x in allowed if t.num * sizes[x] <= t.den * sizes[i] and t.num * sizes[i] <= t.den * sizes[x]}
         assert needed <= {x for y, x in got if y == i} <= allowed
 
 
