@@ -161,25 +161,32 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinloom.llm.substring_dedup import dedup_units
 
-    kept = dedup_units(spark, table(spark, sf_dir, "documents"), unit="line", min_words=8)
+    kept = dedup_units(spark, table(spark, sf_dir, "documents"))
     gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return kept.select("doc_id", "n_units", "n_removed", gone.alias("removed_chars"), F.sha2("text", 256).alias("kept_sha256"))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), " ")
+    return kept.select("doc_id", "n_units", "n_removed", gone.alias("removed_chars"), spans.alias("spans"), F.sha2("text", 256).alias("kept_sha256"))
 
 
-OP10_SQL = """
+OP10_SQL = r"""
 WITH cut AS (
-  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+  SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '(\n|[.!?,;:][ \t\r\x0b\x0c]+|[。！？，；：])', '\1' || chr(57344), 'g'), chr(57344)) AS us FROM documents),
 lined AS (
-  SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM cut),
+  SELECT doc_id, unnest(us) AS u, generate_subscripts(us, 1) AS pos FROM cut),
 keyed AS (
-  SELECT *, translate(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')),
+  SELECT *, sum(length(u)) OVER (PARTITION BY doc_id ORDER BY pos) - length(u) AS start, translate(trim(regexp_replace(u, '[\x20\x09-\x0D]+', ' ', 'g')),
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lined),
 ranked AS (
-  SELECT *, len(string_split(key, ' ')) >= 8 AND row_number() OVER (PARTITION BY key ORDER BY doc_id, pos) > 1 AS gone FROM keyed)
-SELECT doc_id, count(*) AS n_units, count(*) FILTER (WHERE gone) AS n_removed,
-  coalesce(sum(length(line)) FILTER (WHERE gone), 0)::BIGINT AS removed_chars,
-  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM ranked GROUP BY doc_id
+  SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id, pos) > 1 AS gone, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS place FROM keyed WHERE key <> ''),
+islands AS (
+  SELECT *, place - row_number() OVER (PARTITION BY doc_id ORDER BY place) AS island FROM ranked WHERE gone),
+runs AS (
+  SELECT doc_id, min(start) AS a, max(start + length(u)) AS b, count(*) AS n FROM islands
+  GROUP BY doc_id, island HAVING sum(len(string_split(key, ' '))) >= 30),
+removed AS (
+  SELECT doc_id, sum(n) AS n, sum(b - a) AS chars, string_agg(a::BIGINT || '-' || b::BIGINT, ' ' ORDER BY a) AS spans FROM runs GROUP BY doc_id)
+SELECT k.doc_id, count(*) FILTER (WHERE key <> '') AS n_units, coalesce(max(d.n), 0)::BIGINT AS n_removed, coalesce(max(chars), 0)::BIGINT AS removed_chars,
+  coalesce(max(spans), '') AS spans, sha256(coalesce(string_agg(u, '' ORDER BY pos) FILTER (WHERE r.a IS NULL), '')) AS kept_sha256
+FROM keyed k LEFT JOIN runs r ON k.doc_id = r.doc_id AND k.start >= r.a AND k.start < r.b LEFT JOIN removed d ON d.doc_id = k.doc_id GROUP BY k.doc_id
 """
 
 

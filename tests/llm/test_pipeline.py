@@ -48,8 +48,8 @@ def test_stages(spark, tmp_path):
     left = [(d, x[2]) for (d, _), x in zip(left, slow_lines([t for _, t in left], 10, 1))]
     links = {d: c for d, _, c in slow_links([d for d, _ in left], [t for _, t in left], 5, 4, 5)}
     left = [(d, t) for d, t in left if links[d] == d]
-    units = slow_units([d for d, _ in left], [t for _, t in left], "line", 8)
-    texts = {d: units[d][2] for d, _ in left}
+    units = slow_units([d for d, _ in left], [t for _, t in left], "piece", 30)
+    texts = {d: units[d][3] for d, _ in left}
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     lengths = {d: len(tok.encode(t, add_special_tokens=False).ids) + 1 for d, t in texts.items()}
     found = cp.run(spark, str(tmp_path)).collect()
