@@ -43,8 +43,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of eight words or more stay where they are first found."""
-    kept = dedup_units(spark, docs, unit="line", min_words=8, keep=("lang", "source"))
+    """Passages of 30 words or more, in whole pieces of lines, stay where they are first found."""
+    kept = dedup_units(spark, docs, unit="piece", run_words=30, keep=("lang", "source"))
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
