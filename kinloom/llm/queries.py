@@ -169,9 +169,15 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP10_SQL = r"""
 WITH cut AS (
-  SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '(\n|[.!?,;:][ \t\r\x0b\x0c]+|[。！？，；：])', '\1' || chr(57344), 'g'), chr(57344)) AS us FROM documents),
+  SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '(\n|[.!?,;:][ \t\r\x0b\x0c]+)', '\1' || chr(57344), 'g'), chr(57344)) AS us FROM documents),
+clauses AS (
+  SELECT doc_id, unnest(us) AS c, generate_subscripts(us, 1) AS i FROM cut),
+ended AS (
+  SELECT *, suffix(c, chr(10)) OR len(list_filter(string_split_regex(c, '[\x20\x09-\x0D]+'), lambda w: w <> '')) >= 4 AS ends FROM clauses),
+numbered AS (
+  SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM ended),
 lined AS (
-  SELECT doc_id, unnest(us) AS u, generate_subscripts(us, 1) AS pos FROM cut),
+  SELECT doc_id, pos, string_agg(c, '' ORDER BY i) AS u FROM numbered GROUP BY doc_id, pos),
 keyed AS (
   SELECT *, sum(length(u)) OVER (PARTITION BY doc_id ORDER BY pos) - length(u) AS start, translate(trim(regexp_replace(u, '[\x20\x09-\x0D]+', ' ', 'g')),
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lined),

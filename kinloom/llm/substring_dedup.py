@@ -24,8 +24,10 @@ from kinloom.llm.scratch import Scratch
 from kinloom.llm.workers import release, sliced
 
 NO_ID = -(1 << 63)
-#: What ends a unit, and belongs to it: a line end; lines of blanks; a line end, a mark and the blanks after it, or a full-width mark.
-CUTS = {"line": re.compile(rb"\n"), "paragraph": re.compile(rb"\n(?:[ \t\r\x0b\x0c]*\n)+"), "piece": re.compile("\n|[.!?,;:][ \t\r\x0b\x0c]+|。|！|？|，|；|：".encode())}
+#: What ends a unit, and belongs to it: a line end; lines of blanks; a line end, or a mark and the blanks after it.
+CUTS = {"line": re.compile(rb"\n"), "paragraph": re.compile(rb"\n(?:[ \t\r\x0b\x0c]*\n)+"), "piece": re.compile(rb"\n|[.!?,;:][ \t\r\x0b\x0c]+")}
+#: A mark with fewer words since the mark before doesn't end a piece.  This looks at one clause only, so equal passages are cut alike.
+CLAUSE_WORDS = 4
 #: Least words of a run.  A passage of 50 words whose both ends lie inside pieces still has about this many in whole ones.
 RUN_WORDS = 30
 #: Units that a task holds before it gives their earliest places.
@@ -34,14 +36,17 @@ HELD_UNITS = 250_000
 
 def units(text: bytes, unit: str) -> list[tuple[int, int, list[bytes]]]:
     """Start and end in bytes, and words, of each unit that has words; the others belong to none."""
-    out, at = [], 0
-    for m in CUTS[unit].finditer(text):
-        end = m.end()
-        if words := text[at:end].split():
-            out.append((at, end, words))
+    out, start, at, words = [], 0, 0, []
+    for end in [*(m.end() for m in CUTS[unit].finditer(text)), len(text)]:
+        own = text[at:end].split()
+        words += own
         at = end
-    if words := text[at:].split():
-        out.append((at, len(text), words))
+        if unit == "piece" and len(own) < CLAUSE_WORDS and text[end - 1 : end] != b"\n" and end < len(text):
+            continue
+        if words:
+            out.append((start, end, words))
+            words = []
+        start = end
     return out
 
 
@@ -86,7 +91,7 @@ def without(text: bytes, unit: str, runs: list[tuple[int, int]]) -> tuple[int, i
 def dedup_units(spark: SparkSession, docs: DataFrame, unit: str = "piece", run_words: int = RUN_WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
     """Keeps the earliest occurrence of each unit of ``docs`` (doc_id, text), and removes runs of repeated units of ``run_words`` words or more.
 
-    ``unit`` is "line", "paragraph" (parted by lines of blanks) or "piece" (a line's parts between marks).  What parts a unit from
+    ``unit`` is "line", "paragraph" (parted by lines of blanks) or "piece" (a line's parts between marks).  Words are parted by blanks.  What parts a unit from
     the next belongs to it; units without words are none, neither end a run nor count, and go if they lie inside one.  A row for
     each row: doc_id, n_units, n_removed, spans (start and end of each removed run, in code points of the original text), text (the
     original without the spans).  A null text is an empty one.  Equal rows, id and text, count as one document and keep the same

@@ -5,7 +5,7 @@ import pytest
 from kinloom.llm.substring_dedup import dedup_units
 from tests.llm.common import ODD, docs, words
 
-CUT = {"line": r"\n", "paragraph": r"\n(?:[ \t\r\x0b\x0c]*\n)+", "piece": "\n|[.!?,;:][ \t\r\x0b\x0c]+|[。！？，；：]"}
+CUT = {"line": r"\n", "paragraph": r"\n(?:[ \t\r\x0b\x0c]*\n)+", "piece": r"\n|[.!?,;:][ \t\r\x0b\x0c]+"}
 
 
 def slow(ids, texts, unit, least):
@@ -13,8 +13,11 @@ def slow(ids, texts, unit, least):
     cut, found = {}, {}
     lower = lambda s: "".join(c.lower() if "A" <= c <= "Z" else c for c in s)
     for d, t in sorted(zip(ids, texts), key=lambda x: x[0]):
-        t, at, cut[d] = t or "", 0, []
+        t, at, cut[d], clause = t or "", 0, [], 0
         for end in [*(m.end() for m in re.finditer(CUT[unit], t)), len(t)]:
+            few, clause = len(re.findall("[^ \t\n\x0b\x0c\r]+", t[clause:end])) < 4, end
+            if unit == "piece" and few and t[end - 1 : end] != "\n" and end < len(t):
+                continue
             if ws := [x for x in re.split("[ \t\n\x0b\x0c\r]+", lower(t[at:end])) if x]:
                 found.setdefault(" ".join(ws), (d, len(cut[d])))
                 cut[d].append((at, end, ws))
