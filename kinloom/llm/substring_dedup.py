@@ -134,6 +134,7 @@ def dedup_units(spark: SparkSession, docs: DataFrame, unit: str = "piece", run_w
             count, removed, spans, text = ([m[i] for m in made] for i in range(4))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(count, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, span), pa.array(text, pa.binary()).cast(pa.string()), *part.columns[3:]], names=["doc_id", "n_units", "n_removed", "spans", "text", *keep])
 
-    joined = rows.join(runs, ["_key", "_mark"], "left").select("doc_id", "text", "_runs", *keep)
+    # runs grow with the corpus, so they are never broadcast
+    joined = rows.join(runs.hint("merge"), ["_key", "_mark"], "left").select("doc_id", "text", "_runs", *keep)
     types = dict(docs.dtypes)
     return joined.mapInArrow(cut, ", ".join(["doc_id long, n_units long, n_removed long, spans array<struct<start: long, end: long>>, text string", *(f"{c} {types[c]}" for c in keep)]))

@@ -63,7 +63,7 @@ def test_against_brute_force(spark, monkeypatch, unit, least):
 
 def test_equal_rows_keep_alike(spark):
     line = " ".join(words(40, 5))
-    rows = dedup_units(spark, docs(spark, [line, line, line, "x, " + line], ids=[1, 1, 2, None])).collect()
+    rows = dedup_units(spark, docs(spark, [line, line, line, "x\n" + line], ids=[1, 1, 2, None])).collect()
     assert sorted((str(r.doc_id), r.n_removed) for r in rows) == [("1", 1), ("1", 1), ("2", 1), ("None", 0)]
     assert dedup_units(spark, docs(spark, [])).count() == 0
 
