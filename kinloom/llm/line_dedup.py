@@ -1,13 +1,13 @@
 """Removal of lines that many documents hold, by a sharded minimal perfect hash.
 
 1. Documents give the 128-bit digests of their distinct lines; Spark sums them up, map-side first.
-2. Digests found in enough documents are dealt to shards by their high bits.  A shard is a minimal perfect hash (cascaded bit
-   arrays with ranks) that indexes two compact arrays: a 64-bit fingerprint and a 32-bit count for each digest.  A digest that
-   isn't in the shard meets another fingerprint, so no line text is ever compared or joined.
+2. All distinct digests are dealt to shards by their high bits, as many as keep a shard at about ``SHARD_DIGESTS``.  A shard is a
+   minimal perfect hash (cascaded bit arrays with ranks) that indexes two compact arrays: a 64-bit fingerprint and a 32-bit count for
+   each digest.  A digest that isn't in the shard meets another fingerprint, so no line text is ever compared or joined.
 3. The most frequent lines, at most ``hot_lines`` of them, make up one more shard that is broadcast: its size is bounded by that
    parameter.  So no line that a large part of all documents hold is ever dealt to one task.
 4. Documents send the digests that the hot shard doesn't know to the shards, in packets.  A task streams one shard's arrays and
-   then the packets for it, and gives the digests that were found.
+   then the packets for it, and gives the digests whose counts suffice.
 5. A join by document id, which Spark broadcasts or shuffles as the sizes ask for, brings them back to the texts.
 """
 
@@ -18,16 +18,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kinloom.llm.scratch import Scratch, shuffle_partitions
-from kinloom.llm.workers import release
+from kinloom.llm.workers import SLICE_BYTES, release, sliced
 
 BLANK = b" \t\n\x0b\x0c\r"
 HOT_LINES = 4096
+#: Digests of a shard, about: some 12 bytes each.
+SHARD_DIGESTS = 500_000
 #: Copies of each shard, each for a part of the packets.
 COPIES = 4
-NO_ID = -(1 << 63)
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -124,20 +125,23 @@ class LineShard:
         return cls(PerfectHash(np.frombuffer(sizes, "<i8"), np.frombuffer(bits, np.uint8)), np.frombuffer(prints, "<u8"), np.frombuffer(counts, "<u4"))
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[tuple[list, list[bytes]]]:
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
     """Ids and texts as bytes; a null text is an empty one."""
     release()
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            part = batch.slice(at, rows)
-            yield part.column(0).to_pylist(), [t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()]
+    for part in sliced(batches, 1, most=4 * SLICE_BYTES):
+        yield part.column(0).to_pylist(), [t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()]
+
+
+def _key() -> Column:
+    """A document's id; for a null one a hash of the text.  Documents that share a key share what is found, which holds for all."""
+    return F.coalesce("doc_id", F.xxhash64("text"))
 
 
 def line_counts(docs: DataFrame, min_chars: int) -> DataFrame:
     """h1, h2 (digest of a line), n (documents that hold it), for each distinct line."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in _slices(batches, 4096):
+        for _, texts in _slices(batches):
             keys = [k for t in texts for k in {*line_keys(t)} if long_enough(k, min_chars)]
             h, n = np.unique(digests(keys), axis=0, return_counts=True) if keys else (np.zeros((0, 2), np.uint64), np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(h[:, 0].astype(np.int64)), pa.array(h[:, 1].astype(np.int64)), pa.array(n.astype(np.int64))], names=["h1", "h2", "n"])
@@ -150,7 +154,7 @@ def shard_of(h1: np.ndarray, shards: int) -> np.ndarray:
     return ((h1 >> np.uint64(33)) % np.uint64(shards)).astype(np.int32)
 
 
-def build_shards(frequent: DataFrame, shards: int) -> DataFrame:
+def build_shards(counts: DataFrame, shards: int) -> DataFrame:
     """A row for each shard and copy: shard, copy, sizes, bits, prints, counts."""
 
     def build(key, rows):
@@ -158,16 +162,16 @@ def build_shards(frequent: DataFrame, shards: int) -> DataFrame:
         made = LineShard.build(h, rows["n"].to_numpy()).dumps()
         return pa.table({"shard": pa.array([key[0].as_py()] * COPIES, pa.int32()), "copy": pa.array(range(COPIES), pa.int32())} | {k: pa.array([v] * COPIES, pa.binary()) for k, v in zip(("sizes", "bits", "prints", "counts"), made)})
 
-    dealt = frequent.withColumn("shard", F.pmod(F.shiftrightunsigned("h1", 33), F.lit(shards)).cast("int"))
+    dealt = counts.withColumn("shard", F.pmod(F.shiftrightunsigned("h1", 33), F.lit(shards)).cast("int"))
     return dealt.groupBy("shard").applyInArrow(build, "shard int, copy int, sizes binary, bits binary, prints binary, counts binary")
 
 
-def probe(docs: DataFrame, arrays: DataFrame, hot: LineShard, shards: int, min_chars: int) -> DataFrame:
-    """key (document), found (digests of its lines that a shard knows, 16 bytes each)."""
+def probe(docs: DataFrame, arrays: DataFrame, hot: LineShard, shards: int, min_docs: int, min_chars: int) -> DataFrame:
+    """key (document), found (digests of its lines whose counts in a shard suffice, 16 bytes each)."""
 
     def packets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = 0
-        for ids, texts in _slices(batches, 4096):
+        for ids, texts in _slices(batches):
             keys, owner = [], []
             for d, t in zip(ids, texts):
                 own = [k for k in {*line_keys(t)} if long_enough(k, min_chars)]
@@ -186,7 +190,7 @@ def probe(docs: DataFrame, arrays: DataFrame, hot: LineShard, shards: int, min_c
             first, last = cuts[:-1], cuts[1:]
             yield pa.RecordBatch.from_arrays([pa.array(to[first], pa.int32()), pa.array(((to[first] + turn) % COPIES).astype(np.int32)), pa.array([h[a:b].astype("<u8").tobytes() for a, b in zip(first, last)], pa.binary()), pa.array([owner[a:b].astype("<i8").tobytes() for a, b in zip(first, last)], pa.binary())], names=["shard", "copy", "h", "owner"])
 
-    sent = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), "text").mapInArrow(packets, "shard int, copy int, h binary, owner binary")
+    sent = docs.select(_key().alias("key"), "text").mapInArrow(packets, "shard int, copy int, h binary, owner binary")
     none = F.lit(None).cast("binary")
     # a shard's arrays come first, then the packets for it; the task holds one of each at a time
     both = arrays.select("shard", "copy", F.lit(0).alias("turn"), "sizes", "bits", "prints", "counts", none.alias("h"), none.alias("owner")).unionByName(sent.select("shard", "copy", F.lit(1).alias("turn"), none.alias("sizes"), none.alias("bits"), none.alias("prints"), none.alias("counts"), "h", "owner"))
@@ -201,11 +205,11 @@ def probe(docs: DataFrame, arrays: DataFrame, hot: LineShard, shards: int, min_c
                     at, shard = (row[0], row[1]), LineShard.loads(*row[3:7])
                 elif at == (row[0], row[1]):
                     h, owner = np.frombuffer(row[7], "<u8").reshape(-1, 2), np.frombuffer(row[8], "<i8")
-                    hit = shard.count(h.astype(np.uint64)) > 0
+                    hit = shard.count(h.astype(np.uint64)) >= min_docs
                     if hit.any():
                         yield pa.RecordBatch.from_arrays([pa.array(owner[hit]), pa.array([x.tobytes() for x in h[hit]], pa.binary())], names=["key", "found"])
 
-    return dealt.mapInArrow(answer, "key long, found binary").groupBy("key").agg(F.collect_list("found").alias("found"))
+    return dealt.mapInArrow(answer, "key long, found binary").groupBy("key").agg(F.collect_set("found").alias("found"))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, min_docs: int = 10, min_chars: int = 1, hot_lines: int = HOT_LINES, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -213,44 +217,41 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, min_docs: int = 10, min_ch
 
     A key is a line without blanks at both ends and with A-Z in lower case; keys of under ``min_chars`` code points stay.  A row
     for each document: doc_id, n_lines (before), n_dropped, text (the other lines, joined by line ends).  A null or empty text
-    is one empty line.  Each row counts as a document, repeated ids too.  An empty table gives an empty one.  Of other columns, those
+    is one empty line.  Each row counts as a document, repeated and null ids too.  An empty table gives an empty one.  Of other columns, those
     of ``keep`` go along and the others are not read.
     """
     scratch = Scratch(spark, "lines")
-    shards = shuffle_partitions(spark)
-    frequent = scratch.save(line_counts(docs, min_chars).filter(F.col("n") >= min_docs), "frequent")
+    counts = scratch.save(line_counts(docs, min_chars), "counts")
+    shards = max(1, -(-counts.count() // SHARD_DIGESTS))
     # at most hot_lines rows come to the driver
-    top = frequent.orderBy(F.desc("n"), "h1", "h2").limit(hot_lines)
-    rows = top.collect()
+    rows = counts.orderBy(F.desc("n"), "h1", "h2").limit(hot_lines).collect()
     h = np.array([[r["h1"] % (1 << 64), r["h2"] % (1 << 64)] for r in rows], dtype=np.uint64).reshape(-1, 2)
     hot = LineShard.build(h, np.array([r["n"] for r in rows], dtype=np.int64))
     shared = hot.dumps()
-    rest = frequent.limit(0) if len(rows) < hot_lines else frequent.join(F.broadcast(spark.createDataFrame([(r["h1"], r["h2"]) for r in rows], "h1 long, h2 long")), ["h1", "h2"], "left_anti")
-    arrays = scratch.save(build_shards(rest, shards), "arrays")
-    found = scratch.save(probe(docs, arrays, hot, shards, min_chars), "found")
+    arrays = scratch.save(build_shards(counts, shards), "arrays")
+    scratch.drop("counts")
+    found = scratch.save(probe(docs, arrays, hot, shards, min_docs, min_chars), "found")
+    scratch.drop("arrays")
 
     def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = LineShard.loads(*shared)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                texts, known = [t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()], part.column(2).to_pylist()
-                keys = [line_keys(t) for t in texts]
-                flat = [k for ks in keys for k in ks]
-                h = digests(flat)
-                gone = (hot.count(h) > 0).tolist()
-                raw = h.astype("<u8").tobytes()
-                out, lines, dropped, i = [], [], [], 0
-                for t, ks, f in zip(texts, keys, known):
-                    more, n = set(f) if f else (), len(ks)
-                    off = [(g or (f is not None and raw[16 * j : 16 * j + 16] in more)) and long_enough(k, min_chars) for j, (g, k) in enumerate(zip(gone[i : i + n], ks), i)]
-                    i += n
-                    lines.append(n), dropped.append(sum(off))
-                    out.append(b"\n".join([x for x, o in zip(t.split(b"\n"), off) if not o]) if dropped[-1] else t)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(out, pa.binary()).cast(pa.string()), *part.columns[3:]], names=["doc_id", "n_lines", "n_dropped", "text", *keep])
-
-    key = F.coalesce("doc_id", F.lit(NO_ID))
+        for part in sliced(batches, 1):
+            texts, known = [t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()], part.column(2).to_pylist()
+            keys = [line_keys(t) for t in texts]
+            flat = [k for ks in keys for k in ks]
+            h = digests(flat)
+            gone = (hot.count(h) >= min_docs).tolist()
+            raw = h.astype("<u8").tobytes()
+            out, lines, dropped, i = [], [], [], 0
+            for t, ks, f in zip(texts, keys, known):
+                more, n = set(f) if f else (), len(ks)
+                off = [(g or (f is not None and raw[16 * j : 16 * j + 16] in more)) and long_enough(k, min_chars) for j, (g, k) in enumerate(zip(gone[i : i + n], ks), i)]
+                i += n
+                lines.append(n), dropped.append(sum(off))
+                out.append(b"\n".join([x for x, o in zip(t.split(b"\n"), off) if not o]) if dropped[-1] else t)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(out, pa.binary()).cast(pa.string()), *part.columns[3:]], names=["doc_id", "n_lines", "n_dropped", "text", *keep])
+
     types = dict(docs.dtypes)
     found = found.withColumnsRenamed({"key": "_key", "found": "_found"})
-    joined = docs.select("doc_id", "text", key.alias("_key"), *keep).join(found, "_key", "left")
+    joined = docs.select("doc_id", "text", _key().alias("_key"), *keep).join(found, "_key", "left")
     return joined.select("doc_id", "text", "_found", *keep).mapInArrow(thin, ", ".join(["doc_id long, n_lines long, n_dropped long, text string", *(f"{c} {types[c]}" for c in keep)]))

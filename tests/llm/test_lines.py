@@ -27,7 +27,8 @@ TEXTS = [*ODD, *("\n".join([f"Common {k % 3}", " ".join(words(5, k)), "  common
 
 
 @pytest.mark.parametrize(("hot", "min_docs", "min_chars"), [(4096, 5, 1), (0, 5, 1), (2, 5, 4), (4096, 1, 1), (1, 10, 2)])
-def test_against_counts(spark, hot, min_docs, min_chars):
+def test_against_counts(spark, monkeypatch, hot, min_docs, min_chars):
+    monkeypatch.setattr(m, "SHARD_DIGESTS", 40)
     df = docs(spark, TEXTS, extra=True)
     found = {r.doc_id: r for r in m.dedup_lines(spark, df, min_docs, min_chars, hot, keep=("source", "key")).collect()}
     expected = slow(TEXTS, min_docs, min_chars)
@@ -42,6 +43,18 @@ def test_rows_without_ids_and_repeated(spark):
     assert m.dedup_lines(spark, docs(spark, [])).count() == 0
 
 
+def test_many_rows_without_ids(spark):
+    texts = [f"shared\nown {k}" for k in range(300)]
+    rows = m.dedup_lines(spark, docs(spark, texts, ids=[None] * 300), 10, 1, 0).collect()
+    assert sorted(r.text for r in rows) == sorted(f"own {k}" for k in range(300))
+
+
+def test_shards_count_all_lines(spark):
+    counts = m.line_counts(docs(spark, ["a\nb", "a\nc", "a"]), 1)
+    arrays = m.build_shards(counts, 3).filter("copy = 0").collect()
+    assert sorted(n for r in arrays for n in m.LineShard.loads(r.sizes, r.bits, r.prints, r.counts).counts.tolist()) == [1, 1, 3]
+
+
 @pytest.mark.parametrize("n", [0, 1, 5, 1000, 20000])
 def test_perfect_hash(n):
     g = np.random.default_rng(n)
