@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,8 @@ QUERY_ROWS = 512
 #: Least impacts of the segments, as parts of the block's largest.
 CUTS = (0.35, 0.2, 0.1, 0.05)
 FEW = 64
+#: Scaled components beyond this are refused; scores of components up to it have at most 38 digits.
+LARGEST = 1 << 56
 
 
 def usable(vector: Column) -> Column:
@@ -108,12 +111,18 @@ def topk_search(spark: SparkSession, vectors: DataFrame, is_query: Column, k: in
     Components become floor(``scale`` * x); scores are integer inner products.  A row for each: query_id, rank (from 1), vec_id, score.
     Ties go to the smaller id; a query's own id is no answer.  Of rows that repeat an id, the one whose vector is largest by order
     of components stands for it, as query and as candidate.  Rows with a null id, and vectors that are null or hold null or non-finite components, take no part; vectors meet
-    only those of equal length.  An empty table, or one without queries, gives an empty one.  Other columns are not read.
+    only those of equal length.  Scores are long; where the largest scaled component lets them grow beyond that, they are all decimal(38, 0).  Components
+    beyond 2 ** 56 after scaling are an error, raised before the index is built.  An empty table, or one without queries, gives an empty one.  Other columns are not read.
     """
     scratch = Scratch(spark, "topk")
     rows = vectors.filter(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), whole(F.col(vector_col), scale).alias("x"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     rows = scratch.save(rows.withColumn("d", F.size("x")), "vectors")
-    count = rows.count()
+    largest = F.array_max(F.transform("x", lambda x: F.greatest(x, F.bitwise_not(x))))
+    count, top, most = rows.agg(F.count("*"), F.max(largest), F.max("d")).first()
+    if (top or 0) >= LARGEST:
+        raise ValueError(f"{vector_col} has components beyond {LARGEST} after scaling")
+    wide = (most or 0) * ((top or 0) + 1) ** 2 >= 1 << 63
+    kind, score_type = ("decimal(38,0)", pa.decimal128(38, 0)) if wide else ("long", pa.int64())
     parts = shuffle_partitions(spark)
     blocks = max(1, math.ceil(count / BLOCK_ROWS), min(parts, count // 1024))
     groups = max(1, math.ceil(rows.filter("asks").count() / QUERY_ROWS))
@@ -140,8 +149,8 @@ def topk_search(spark: SparkSession, vectors: DataFrame, is_query: Column, k: in
                     at, block = (d, b), ImpactBlock(ids, xs)
                 elif at == (d, b):
                     q, v, s = block.search(xs, ids, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(v.astype(np.int64)), pa.array(s.tolist(), pa.int64())], names=["query_id", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(v.astype(np.int64)), pa.array([Decimal(x) for x in s.tolist()] if wide else s.astype(np.int64), score_type)], names=["query_id", "vec_id", "score"])
 
-    found = dealt.mapInArrow(answer, "query_id long, vec_id long, score long")
+    found = dealt.mapInArrow(answer, f"query_id long, vec_id long, score {kind}")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -61,3 +61,17 @@ def test_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert t.topk_search(spark, df, F.col("vec_id") % 50 == 0).count() == 0
     assert t.topk_search(spark, spark.createDataFrame([(1, [1.0])], df.schema), F.col("vec_id") % 50 == 0).count() == 0
+
+
+@pytest.mark.parametrize("size", [1e7, 1e12])
+def test_large_components(spark, size):
+    g = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in np.float32(g.normal(size=6) * size)]) for i in range(80)]
+    found = t.topk_search(spark, spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0).collect()
+    assert {(r.query_id, r["rank"], r.vec_id, int(r.score)) for r in found} == slow(rows, 5, lambda i: i % 20 == 0)
+
+
+@pytest.mark.parametrize("size", [1e30, -1e30, 3e14, -3e14])
+def test_too_large_components_are_refused(spark, size):
+    with pytest.raises(ValueError, match="components beyond"):
+        t.topk_search(spark, spark.createDataFrame([(1, [0.5, size])], "vec_id long, embedding array<float>"), F.lit(True))
