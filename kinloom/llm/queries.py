@@ -67,7 +67,7 @@ stats AS (
     length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, len(lines) AS n_lines,
     len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
   FROM cut LEFT JOIN covered USING (doc_id))"""
-    steps = "".join(f",\n{name} AS MATERIALIZED ({query})" for name, query in steps_sql("stats"))
+    steps = "".join(f",\n{name} AS MATERIALIZED ({query})" for name, query in steps_sql())
     failed = "(n_words < 10 OR 100 * n_repeat_words > 20 * n_words)"
     return f"""WITH {stats}{steps}
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
