@@ -141,7 +141,7 @@ def op8_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP8_SQL = f"""
 WITH hashed AS (
   SELECT doc_id, ('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT AS h, coalesce(strlen(text), 0) AS n_bytes FROM documents),
-levels AS (SELECT unnest(range(0, 25)) AS depth),
+levels AS (SELECT unnest(range(0, 61)) AS depth),
 sums AS (
   SELECT depth, h >> (60 - depth) AS p, sum(n_bytes)::BIGINT AS shard_bytes FROM hashed, levels GROUP BY ALL),
 found AS (

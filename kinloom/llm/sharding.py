@@ -1,8 +1,9 @@
 """Extendible hashing into shards of bounded size, with DataFrame functions only.
 
-A row's hash has 60 bits, from the md5 of its key.  The histogram of bytes by hash prefix is the directory's base; from depth 0 on,
-only buckets over the limit go on to the next bit.  When all are settled, the directory says for each prefix of the base which
-bucket it belongs to, and rows find their shard by an equi-join on the prefix.  Rows whose bucket is still too large at the
+A row's hash has 60 bits, from the md5 of its key.  The histogram of bytes by hash prefix is the directory's base; it is summed up a
+bit at a time, until all buckets are over the limit.  A bucket within it whose parent is over it is a shard: only buckets over the
+limit are split on another bit.  The directory says for each prefix of the base which shard it belongs to, and rows find theirs by
+an equi-join on the prefix.  Rows whose bucket is still too large at the
 base's depth go through a second, full-depth round.  Rows of one single hash that are too large together (one key that holds
 a large part of all rows) are split on by the bits of a row number.
 """
@@ -25,41 +26,40 @@ def key_hash(key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, BITS // 4), 16, 10).cast("long")
 
 
-def _directory(scratch: Scratch, rows: DataFrame, depth_from: int, base: int, limit: int, name: str) -> tuple[list[DataFrame], bool]:
-    """Settled parts of the directory (p, depth, shard_bytes), and whether some of it is not settled.  p: the first ``base`` bits of a hash."""
-    active = scratch.save(rows.groupBy(F.shiftright("h", BITS - base).alias("p")).agg(F.sum("n_bytes").alias("n_bytes"), F.min("h").alias("least"), F.max("h").alias("most")), f"{name}-base")
-    settled = []
-    for depth in range(depth_from, base + 1):
-        at = F.shiftright("p", base - depth).alias("bucket")
-        buckets = active.groupBy(at).agg(F.sum("n_bytes").alias("shard_bytes"), F.min("least").alias("least"), F.max("most").alias("most"))
+def _directory(scratch: Scratch, rows: DataFrame, depth_from: int, base: int, limit: int, name: str) -> tuple[DataFrame, bool]:
+    """The directory (p, depth, shard_bytes), and whether some of it is not settled.  p: the first ``base`` bits of a hash."""
+
+    def summed(by: DataFrame, depth: int) -> DataFrame:
+        own = by.groupBy("bucket").agg(F.sum("n_bytes").alias("n_bytes"), F.min("least").alias("least"), F.max("most").alias("most"))
         # one single hash has no other bit to split on
-        known = active.select("p", "n_bytes", "least", "most", at).join(buckets.select("bucket", "shard_bytes", (F.col("least") == F.col("most")).alias("single")), "bucket")
-        known = scratch.save(known.withColumn("open", (F.col("shard_bytes") > limit) & ~F.col("single")), f"{name}-{depth}")
-        settled.append(known.filter(~F.col("open")).select("p", F.lit(depth).alias("depth"), "shard_bytes"))
-        active = known.filter("open").select("p", "n_bytes", "least", "most")
-        if active.isEmpty():
-            return settled, False
-    return settled, True
+        return scratch.save(own.withColumn("open", (F.col("n_bytes") > limit) & (F.col("least") != F.col("most"))), f"{name}-{depth}")
+
+    levels = {base: summed(rows.select(F.shiftright("h", BITS - base).alias("bucket"), "n_bytes", F.col("h").alias("least"), F.col("h").alias("most")), base)}
+    depth = base
+    while depth > depth_from and not levels[depth].filter(~F.col("open")).isEmpty():
+        depth -= 1
+        levels[depth] = summed(levels[depth + 1].withColumn("bucket", F.shiftright("bucket", 1)), depth)
+    shards = levels[depth].filter(~F.col("open")).select(F.lit(depth).alias("depth"), "bucket", F.col("n_bytes").alias("shard_bytes"))
+    for k in range(depth + 1, base + 1):
+        parents = levels[k - 1].filter("open").select(F.col("bucket").alias("parent"))
+        own = levels[k].filter(~F.col("open")).withColumn("parent", F.shiftright("bucket", 1)).join(parents, "parent", "left_semi")
+        shards = shards.unionAll(own.select(F.lit(k).alias("depth"), "bucket", F.col("n_bytes").alias("shard_bytes")))
+    prefixes = levels[base].select(F.col("bucket").alias("p"), F.explode(F.array(*map(F.lit, levels))).alias("depth"))
+    found = prefixes.withColumn("bucket", F.expr(f"shiftright(p, {base} - depth)")).join(shards, ["depth", "bucket"])
+    return scratch.save(found.select("p", "depth", "shard_bytes"), f"{name}-directory"), not levels[base].filter("open").isEmpty()
 
 
 def _settle(scratch: Scratch, rows: DataFrame, limit: int, name: str) -> DataFrame:
     """rid, h, n_bytes, depth, shard_bytes."""
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     base = min(BITS, max(0, math.ceil(math.log2(max(total, 1) / limit))) + SPARE)
-    settled, rest = _directory(scratch, rows, 0, base, limit, f"{name}-a")
-    parts = [(settled, base, rows)]
+    directory, rest = _directory(scratch, rows, 0, base, limit, f"{name}-a")
+    parts = [(directory, base, rows)]
     if rest and base < BITS:
-        deeper = rows.withColumn("p", F.shiftright("h", BITS - base))
-        done = settled[0]
-        for x in settled[1:]:
-            done = done.unionAll(x)
-        left = scratch.save(deeper.join(done.select("p"), "p", "left_anti").drop("p"), f"{name}-left")
-        parts = [(settled, base, rows), (_directory(scratch, left, base, BITS, limit, f"{name}-b")[0], BITS, left)]
+        left = scratch.save(rows.withColumn("p", F.shiftright("h", BITS - base)).join(directory.select("p"), "p", "left_anti").drop("p"), f"{name}-left")
+        parts.append((_directory(scratch, left, base, BITS, limit, f"{name}-b")[0], BITS, left))
     out = None
-    for settled, bits, own in parts:
-        directory = settled[0]
-        for x in settled[1:]:
-            directory = directory.unionAll(x)
+    for directory, bits, own in parts:
         found = own.withColumn("p", F.shiftright("h", BITS - bits)).join(directory, "p").drop("p")
         out = found if out is None else out.unionAll(found)
     return out
