@@ -8,7 +8,8 @@ partner's shingles, so of two sets that link, both have a common shingle among t
 documents meet at these.  Meetings of the same documents are held once.
 
 1. An R-tree over the points of a meeting, bulk-loaded, gives for its documents in turn those whose bound on the overlap suffices.
-   Each is led by the first such one, and is compared with the leader that it has most often; links are contracted to components.
+   Each is led by the first such one, and by the last; it is compared with the leaders that it has most often, which ties groups
+   together that have documents in common, and links are contracted to components.
    Large meetings are dealt to chunks, whose leaders meet once more.  This leaves one component of a group of near copies, however large.
 2. Where a meeting still holds several components, the trees give all pairs of different components whose bound suffices.  Documents
    of its largest component meet the others alone, chunk by chunk.
@@ -237,9 +238,10 @@ class CountTree:
         return (np.concatenate(asked), np.concatenate(found)) if asked else (np.zeros(0, np.int64),) * 2
 
 
-def leaders(doc: np.ndarray, size: np.ndarray, points: np.ndarray, threshold: Threshold) -> np.ndarray:
-    """The document that leads each: the first in turn whose tree search finds it, or itself."""
+def leaders(doc: np.ndarray, size: np.ndarray, points: np.ndarray, threshold: Threshold) -> tuple[np.ndarray, np.ndarray]:
+    """The first document in turn that leads each and the last: those whose tree search finds it, or itself."""
     tree, leader = CountTree(points, size), np.full(len(doc), -1)
+    last = np.arange(len(doc))
     left, step = np.argsort(doc, kind="stable"), 8
     while len(left):
         asked = left[:step]
@@ -250,9 +252,9 @@ def leaders(doc: np.ndarray, size: np.ndarray, points: np.ndarray, threshold: Th
             if leader[at] < 0:
                 found = p[order[cuts[k] : cuts[k + 1]]]
                 leader[found[leader[found] < 0]] = at
-                leader[at] = at
+                leader[at] = last[found] = at
         left, step = left[leader[left] < 0], min(2 * step, 256)
-    return doc[leader]
+    return doc[leader], doc[last]
 
 
 def meeting_pairs(doc: np.ndarray, comp: np.ndarray, size: np.ndarray, points: np.ndarray, half: np.ndarray, across: bool, threshold: Threshold) -> tuple[np.ndarray, np.ndarray]:
@@ -318,7 +320,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = 5, num
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc", "mark", "n", "h1", "h2", "point", "shingle", "times"]
-        frequent = Frequent()
+        counter = Frequent()
 
         def counts(found: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
             none = [pa.nulls(len(found), pa.int64())] * 5
@@ -329,12 +331,12 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = 5, num
             h = np.frombuffer(b"".join([xxhash.xxh3_128_digest(s.tobytes()) for s in sets]), ">i8").astype(np.int64).reshape(-1, 2)
             none = [pa.nulls(len(sets), pa.int64())] * 2
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(sizes.astype(np.int64)), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array([point(s) for s in sets], pa.binary()), *none], names=names)
-            for found in frequent.add(values):
+            for found in counter.add(values):
                 yield counts(*found)
-        yield counts(*frequent.counted())
+        yield counts(*counter.counted())
 
-    both = scratch.save(keyed.mapInArrow(describe, "doc long, mark long, n long, h1 long, h2 long, point binary, shingle long, times long"), "described")
-    described = both.filter("doc IS NOT NULL").select("doc", "mark", "n", "h1", "h2", "point")
+    told = scratch.save(keyed.mapInArrow(describe, "doc long, mark long, n long, h1 long, h2 long, point binary, shingle long, times long"), "described")
+    described = told.filter("doc IS NOT NULL").select("doc", "mark", "n", "h1", "h2", "point")
     # one set for each document
     own = described.groupBy("doc").agg(F.max(F.struct("n", "h1", "h2", "mark")).alias("o")).select("doc", "o.*")
     own = scratch.save(own, "own")
@@ -345,8 +347,8 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = 5, num
     others = scratch.save(described.select("doc", "mark").distinct().join(stands, ["doc", "mark"], "left_anti"), "others")
     standing = keyed.join(others, ["doc", "mark"], "left_anti").select("doc", "text")
     # at most HOT rows come to the driver and are broadcast
-    often = both.filter("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "shingle").limit(HOT).toArrow()
-    shared = spark.sparkContext.broadcast(Hot(often["shingle"].to_numpy().astype(np.uint64), often["times"].to_numpy()))
+    frequent = told.filter("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "shingle").limit(HOT).toArrow()
+    shared = spark.sparkContext.broadcast(Hot(frequent["shingle"].to_numpy().astype(np.uint64), frequent["times"].to_numpy()))
 
     def divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = shared.value
@@ -387,18 +389,23 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = 5, num
     # first round: leaders, in the chunks of a meeting and then among the leaders of its chunks
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, points in by_key(batches, 2, 4):
-            found = leaders(t[2], t[3], folded(points), threshold)
-            yield pa.RecordBatch.from_arrays([pa.array(t[0]), pa.array(found), pa.array(t[2])], names=["token", "a", "b"])
+            first, last = leaders(t[2], t[3], folded(points), threshold)
+            yield pa.RecordBatch.from_arrays([pa.array(t[0]), pa.array(first), pa.array(last), pa.array(t[2])], names=["token", "a", "last", "b"])
 
     def led(guests: DataFrame, name: str) -> DataFrame:
         seats = guests.join(points, "doc").select("token", "salt", "doc", "n", "point").repartition(shuffle_partitions(spark), "token", "salt")
-        return scratch.save(seats.sortWithinPartitions("token", "salt", "doc").mapInArrow(lead, "token long, a long, b long"), name)
+        return scratch.save(seats.sortWithinPartitions("token", "salt", "doc").mapInArrow(lead, "token long, a long, last long, b long"), name)
 
     first = led(met.select("token", "salt", "doc"), "led")
     large = met.filter("large").select("token").distinct()
     again = led(first.filter("a = b").join(large, "token", "left_semi").select("token", F.lit(0).alias("salt"), F.col("a").alias("doc")), "led-again")
-    times = first.unionAll(again).filter("a != b").groupBy("b", "a").agg(F.count("*").alias("times"))
-    pairs = scratch.save(times.groupBy("b").agg(F.max_by("a", F.struct("times", -F.col("a"))).alias("a")).select("a", "b"), "first")
+    both = first.unionAll(again)
+
+    def often(leader: str) -> DataFrame:
+        times = both.filter(F.col(leader) != F.col("b")).groupBy("b", F.col(leader).alias("a")).agg(F.count("*").alias("times"))
+        return times.groupBy("b").agg(F.max_by("a", F.struct("times", -F.col("a"))).alias("a")).select("a", "b")
+
+    pairs = scratch.save(often("a").unionAll(often("last")).distinct(), "first")
     one = components(scratch, linked(pairs, "first"), "one")
 
     # second round: meetings of several components; chunks of the largest one meet the others, which all meet each other

@@ -90,12 +90,13 @@ def test_leaders_lead_what_the_bound_allows():
     points = g.poisson(2, (300, 64))
     points[100:] = np.maximum(points[g.integers(0, 100, 200)] + g.integers(-1, 2, (200, 64)) * (g.random((200, 64)) < 0.05), 0)
     sizes, doc, t = points.sum(axis=1), g.permutation(300) * 3, j.Threshold(4, 5)
-    led = j.leaders(doc, sizes, points, t)
+    led, last = j.leaders(doc, sizes, points, t)
     at = {d: i for i, d in enumerate(doc.tolist())}
     heads = set(led.tolist())
     assert all(led[at[h]] == h for h in heads) and len(heads) < 200
     may = lambda a, b: np.minimum(points[a], points[b]).sum() >= t.least_common(sizes[a] + sizes[b])
     assert all(d == h or h < d and may(at[h], at[d]) for d, h in zip(doc.tolist(), led.tolist()))
+    assert all(d == h and e == d or h <= e < d and may(at[e], at[d]) and led[at[e]] == e for d, h, e in zip(doc.tolist(), led.tolist(), last.tolist()))
     near = lambda a, b: may(a, b) and t.num * max(sizes[a], sizes[b]) <= t.den * min(sizes[a], sizes[b])
     assert not any(a < b and near(at[a], at[b]) for a in heads for b in heads)
 
