@@ -11,9 +11,10 @@ documents meet at these.  Meetings of the same documents are held once.
    Each is led by the first such one, and by the last; it is compared with the leaders that it has most often, which ties groups
    together that have documents in common, and links are contracted to components.
    Large meetings are dealt to chunks, whose leaders meet once more.  This leaves one component of a group of near copies, however large.
-2. Where a meeting still holds several components, the trees give all pairs of different components whose bound suffices.  Documents
-   of its largest component meet the others alone, chunk by chunk.
-3. The pairs are verified on the sets, and the links contract the components once more.
+2. Where a meeting still holds several components, the trees give the pairs of different components whose bound suffices.  Documents
+   of its largest component meet the others alone, chunk by chunk.  At first each document keeps the pair of the largest bound, and
+   links contract the components once more; then all pairs count that still lie in different ones.
+3. The pairs are verified on the sets, and the links contract the components for the last time.
 
 No link is lost: a pair that isn't compared lies in one component already.
 """
@@ -257,8 +258,8 @@ def leaders(doc: np.ndarray, size: np.ndarray, points: np.ndarray, threshold: Th
     return doc[leader], doc[last]
 
 
-def meeting_pairs(doc: np.ndarray, comp: np.ndarray, size: np.ndarray, points: np.ndarray, half: np.ndarray, across: bool, threshold: Threshold) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of documents of different components that may link; ``across``: only those of both halves of two chunks."""
+def meeting_pairs(doc: np.ndarray, comp: np.ndarray, size: np.ndarray, points: np.ndarray, half: np.ndarray, across: bool, threshold: Threshold, best: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of documents of different components that may link; ``across``: only those of both halves of two chunks; ``best``: of each document the one of the largest bound."""
     first = np.flatnonzero(half == 0) if across else np.arange(len(doc))
     second = np.flatnonzero(half == 1) if across else first
     if not len(first) or not len(second):
@@ -266,7 +267,16 @@ def meeting_pairs(doc: np.ndarray, comp: np.ndarray, size: np.ndarray, points: n
     q, p = CountTree(points[first], size[first]).search(points[second], size[second], threshold)
     q, p = second[q], first[p]
     keep = (comp[q] != comp[p]) & ((doc[p] < doc[q]) | across)
-    return doc[p[keep]], doc[q[keep]]
+    q, p = q[keep], p[keep]
+    if best and len(q):
+        bound = np.concatenate([np.minimum(points[x], points[y]).sum(axis=1) for x, y in zip(np.array_split(q, -(-len(q) // 4096)), np.array_split(p, -(-len(q) // 4096)))])
+        share = bound / (size[q] + size[p] - bound)
+        chosen = np.zeros(len(q), bool)
+        for side in (q, p):
+            order = np.lexsort((np.arange(len(q)), -share, side))
+            chosen[order[np.append(True, np.diff(side[order]) != 0)]] = True
+        q, p = q[chosen], p[chosen]
+    return doc[p], doc[q]
 
 
 def by_key(batches: Iterator[pa.RecordBatch], keys: int, numbers: int) -> Iterator[tuple[list[np.ndarray], list[bytes]]]:
@@ -409,32 +419,40 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = 5, num
     one = components(scratch, linked(pairs, "first"), "one")
 
     # second round: meetings of several components; chunks of the largest one meet the others, which all meet each other
-    placed = scratch.save(met.select("token", "doc").join(one.select(F.col("node").alias("doc"), "component"), "doc", "left").select("token", "doc", F.coalesce("component", "doc").alias("component")), "placed")
-    sizes = placed.groupBy("token", "component").agg(F.count("*").alias("size"))
-    sums = sizes.groupBy("token").agg(F.max_by("component", F.struct("size", -F.col("component"))).alias("main"), F.max("size").alias("most"), F.sum("size").alias("size")).filter("size > most")
-    chunks = lambda size: F.ceil(size / F.lit(CHUNK)).cast("int")
-    open_ = scratch.save(sums.select("token", "main", chunks(F.col("size") - F.col("most")).alias("others"), chunks(F.col("most")).alias("mains")), "open")
-    salt = F.xxhash64("doc")
-    seated = placed.join(open_, "token").withColumn("chunk", F.when(F.col("component") == F.col("main"), F.col("others") + F.pmod(salt, F.col("mains"))).otherwise(F.pmod(salt, F.col("others"))).cast("int"))
-    last = F.when(F.col("chunk") < F.col("others"), F.col("others") + F.col("mains")).otherwise(F.col("others")) - 1
-    dealt = seated.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
-    seats = dealt.select("token", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "doc", "component")
-    seats = seats.join(points, "doc").select("token", "low", "high", "chunk", "doc", "component", "n", "point")
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, points in by_key(batches, 3, 7):
-            a, b = meeting_pairs(t[4], t[5], t[6], folded(points), (t[3] != t[1]).astype(np.int8), bool(t[1][0] != t[2][0]), threshold)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    near = seats.repartition(shuffle_partitions(spark), "token", "low", "high").sortWithinPartitions("token", "low", "high").mapInArrow(search, "a long, b long")
-    near = scratch.save(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near")
-    more = linked(near, "near").join(one.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(one.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-    two = components(scratch, more.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), "two")
-    for name in ("met", "points", "led", "led-again", "placed", "first-sets", "near-sets"):
+    def meet(where: DataFrame, best: bool, name: str) -> DataFrame:
+        """Pairs (a, b) of documents in different components of ``where`` (doc, component) that may link."""
+        placed = scratch.save(met.select("token", "doc").join(where, "doc"), f"{name}-placed")
+        sizes = placed.groupBy("token", "component").agg(F.count("*").alias("size"))
+        sums = sizes.groupBy("token").agg(F.max_by("component", F.struct("size", -F.col("component"))).alias("main"), F.max("size").alias("most"), F.sum("size").alias("size")).filter("size > most")
+        chunks = lambda size: F.ceil(size / F.lit(CHUNK)).cast("int")
+        open_ = scratch.save(sums.select("token", "main", chunks(F.col("size") - F.col("most")).alias("others"), chunks(F.col("most")).alias("mains")), f"{name}-open")
+        salt = F.xxhash64("doc")
+        seated = placed.join(open_, "token").withColumn("chunk", F.when(F.col("component") == F.col("main"), F.col("others") + F.pmod(salt, F.col("mains"))).otherwise(F.pmod(salt, F.col("others"))).cast("int"))
+        last = F.when(F.col("chunk") < F.col("others"), F.col("others") + F.col("mains")).otherwise(F.col("others")) - 1
+        dealt = seated.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+        seats = dealt.select("token", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "doc", "component")
+        seats = seats.join(points, "doc").select("token", "low", "high", "chunk", "doc", "component", "n", "point")
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t, points in by_key(batches, 3, 7):
+                a, b = meeting_pairs(t[4], t[5], t[6], folded(points), (t[3] != t[1]).astype(np.int8), bool(t[1][0] != t[2][0]), threshold, best)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        found = seats.repartition(shuffle_partitions(spark), "token", "low", "high").sortWithinPartitions("token", "low", "high").mapInArrow(search, "a long, b long")
+        found = scratch.save(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
+        scratch.drop(f"{name}-placed")
+        return found
+
+    where = scratch.save(ids.join(one.select(F.col("node").alias("doc"), "component"), "doc", "left").select("doc", F.coalesce("component", "doc").alias("component")), "one-where")
+    for best, name in ((True, "best"), (False, "near")):
+        a, b = (where.select(F.col("doc").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+        links = linked(meet(where, best, name), name).join(a, "a").join(b, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        joined = components(scratch, links, f"{name}-components").select(F.col("node").alias("component"), F.col("component").alias("now"))
+        where = scratch.save(where.join(joined, "component", "left").select("doc", F.coalesce("now", "component").alias("component")), f"{name}-where")
+    for name in ("met", "points", "led", "led-again", "first-sets", "best-sets", "near-sets"):
         scratch.drop(name)
 
-    found = members.select("doc", F.coalesce("rep", "doc").alias("rep")).join(one.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc", F.coalesce("component", "rep").alias("node"))
-    found = found.join(two, "node", "left").select("doc", F.coalesce("component", "node").alias("component"))
+    found = members.select("doc", F.coalesce("rep", "doc").alias("rep")).join(where.withColumnRenamed("doc", "rep"), "rep", "left").select("doc", F.coalesce("component", "rep").alias("component"))
     found = described.select("doc", "n").join(found, "doc")
     shown = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return found.select(shown("doc").alias("doc_id"), F.col("n").alias("n_shingles"), shown("component").alias("component_id"))
