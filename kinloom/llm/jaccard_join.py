@@ -12,7 +12,7 @@ documents meet at these.  Meetings of the same documents are held once.
    together that have documents in common, and links are contracted to components.
    Large meetings are dealt to chunks, whose leaders meet once more.  This leaves one component of a group of near copies, however large.
 2. Where a meeting still holds several components, the trees give the pairs of different components whose bound suffices.  Documents
-   of its largest component meet the others alone, chunk by chunk.  At first each document keeps the pair of the largest bound, and
+   of its largest component meet the others alone, chunk by chunk.  In large meetings each document first keeps the pair of the largest bound, and
    links contract the components once more; then all pairs count that still lie in different ones.
 3. The pairs are verified on the sets, and the links contract the components for the last time.
 
@@ -424,6 +424,8 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = 5, num
         placed = scratch.save(met.select("token", "doc").join(where, "doc"), f"{name}-placed")
         sizes = placed.groupBy("token", "component").agg(F.count("*").alias("size"))
         sums = sizes.groupBy("token").agg(F.max_by("component", F.struct("size", -F.col("component"))).alias("main"), F.max("size").alias("most"), F.sum("size").alias("size")).filter("size > most")
+        if best:  # only the pairs of large meetings are so many that they had better contract first
+            sums = sums.filter(F.col("size") > LEAF)
         chunks = lambda size: F.ceil(size / F.lit(CHUNK)).cast("int")
         open_ = scratch.save(sums.select("token", "main", chunks(F.col("size") - F.col("most")).alias("others"), chunks(F.col("most")).alias("mains")), f"{name}-open")
         salt = F.xxhash64("doc")
