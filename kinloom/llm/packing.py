@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from kinloom.llm.scratch import Scratch, shuffle_partitions
-from kinloom.llm.workers import held, sliced
+from kinloom.llm.workers import SLICE_BYTES, held, sliced
 
 MAX_TOKENS = 4096
 END_ID = 1
@@ -129,7 +129,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOK
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = word_tokenizer(tokenizer_path, cache_words)
-        for part in sliced(batches, 1):
+        for part in sliced(batches, 1, most=4 * SLICE_BYTES):
             ids, texts = part.column(0), [t or "" for t in part.column(1).to_pylist()]
             doc, piece, start, length, owns = [], [], [], [], []
             for d, data in zip(ids.to_pylist(), tok.encode(texts)):
