@@ -61,10 +61,11 @@ def romanize(text: str) -> str:
 
 
 def fold_text(text: str) -> str:
-    if _BEYOND_ASCII.search(text):
-        text = unicodedata.normalize("NFKD", romanize(text.replace(*lex.MALAYALAM_DOUBLE)))
-        text = "".join(c for c in text if not unicodedata.combining(c)).encode("ascii", "ignore").decode()
-    return text.lower()
+    """Accents come apart from their letters, and go with all else beyond ASCII."""
+    if text.isascii():
+        return text.lower()
+    apart = unicodedata.normalize("NFKD", romanize(text.replace(*lex.MALAYALAM_DOUBLE)))
+    return _BEYOND_ASCII.sub("", apart).lower()
 
 
 @cache
