@@ -381,7 +381,9 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = 5, num
     scratch.drop("all-met")
 
     ids = scratch.save(met.select("doc").distinct(), "ids")
-    points = scratch.save(described.join(own.select("doc", "mark"), ["doc", "mark"], "left_semi").join(ids, "doc", "left_semi").select("doc", "n", "point").dropDuplicates(["doc"]), "points")
+    # documents that meet stand for classes; by both keys, points and texts are shuffled once at most
+    points = described.join(ids.join(stands, "doc"), ["doc", "mark"], "left_semi").dropDuplicates(["doc", "mark"]).select("doc", "n", "point")
+    points = scratch.save(points, "points")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, values, sizes in _sets(batches, words):
@@ -390,8 +392,9 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = 5, num
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs (a, b) that link, found on their sets; only texts of these pairs are read."""
-        ends = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), f"{name}-ends")
-        sets = scratch.save(standing.join(ends, "doc", "left_semi").mapInArrow(gather, "doc long, shingles array<long>"), f"{name}-sets")
+        ends = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct().join(stands, "doc"), f"{name}-ends")
+        texts = keyed.join(ends, ["doc", "mark"], "left_semi").select("doc", "text")
+        sets = scratch.save(texts.mapInArrow(gather, "doc long, shingles array<long>"), f"{name}-sets")
         a, b = (sets.select(F.col("doc").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
         common, both = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
         return scratch.save(pairs.join(b, "b").join(a, "a").filter(den * common >= num * (both - common)).select("a", "b").distinct(), f"{name}-links")
