@@ -1,3 +1,5 @@
+import json
+import os
 import random
 
 import pytest
@@ -5,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kinloom import cli
 from kinloom.operators import models
+from kinloom.operators.candidates import sampled
 from kinloom.plans.experiment import run_experiment
 from kinloom.streaming.normalize import normalize_stream, record_stream
 
@@ -26,6 +29,10 @@ def test_commands_from_files_to_valid_lists(spark, tmp_path):
     assert cli.main(["prepare", "--work", work, *sources, "--truth", f"{tmp_path}/truth.tsv"]) == 0
     assert cli.main(["block", "--work", work, "joint", "name", "--K", "5"]) == 0
     assert cli.main(["blocking-eval", "--work", work, "--Ks", "1,5"]) == 0
+    n = spark.read.parquet(f"{work}/candidates").count()
+    assert cli.main(["block", "--work", work, "joint", "--K", "5", "--sample", "0.5"]) == 0
+    assert cli.main(["blocking-eval", "--work", work, "--Ks", "1,5", "--sample", "0.5"]) == 0
+    assert 0 < spark.read.parquet(f"{work}/candidates-0.5").count() < n == spark.read.parquet(f"{work}/candidates").count()
     records, truth = spark.read.parquet(f"{work}/records"), spark.read.parquet(f"{work}/truth")
     config = {"name": "base", "blocking": {"joint": 5, "name": 3, "addr": 3}, "baseline_score": "score_joint", "thresholds": [0.3, 0.5]}
     grid = run_experiment(spark, config, records, truth, f"{work}/experiments")
@@ -37,6 +44,25 @@ def test_commands_from_files_to_valid_lists(spark, tmp_path):
     assert cli.main(["validate", "-m", f"{tmp_path}/out/matching_results", "-c", f"{tmp_path}/out/candidate_pairs", "-s", *sources, "--check-ids"]) == 0
 
 
+def test_saved_models_score_held_out_records(spark, tmp_path):
+    sources, work = files(tmp_path, 60), f"{tmp_path}/work"
+    assert cli.main(["prepare", "--work", work, *sources, "--truth", f"{tmp_path}/truth.tsv"]) == 0
+    small, ks = {"trees": 2, "depth": 2, "least_rows": 1}, ["--ks", "joint=4", "name=2", "addr=2"]
+    sizes = json.dumps({"pruner": small, "matcher": small, "stacker": small})
+    assert cli.main(["train", "--work", work, "--models", f"{work}/models", "--share", "0.6", "--sizes", sizes, *ks]) == 0
+    learned = sampled(spark.read.parquet(f"{work}/records"), 0.6).select("rid").collect()
+    assert 0 < len(learned) < 60 and {r.s1 for r in spark.read.parquet(f"{work}/train-scores").collect()} <= {r.rid for r in learned}
+    model, columns = models.load(f"{work}/models/matcher")
+    assert "nc_tset" in columns and not any(c.startswith("rank_") for c in columns) and model.stages[1].getNumTrees == 2
+    # scoring needs no truth
+    os.rename(f"{work}/truth", f"{work}/kept")
+    assert cli.main(["score", "--work", work, "--models", f"{work}/models"]) == 0
+    os.rename(f"{work}/kept", f"{work}/truth")
+    assert cli.main(["holdout", "--work", work, "--share", "0.6"]) == 0
+    means = {r.country: r for r in spark.read.json(f"{work}/holdout").collect()}
+    assert set(means) == {"US", "all"} and means["all"].n_entities == 60 - len(learned) and means["all"].macro_f05 > 0.6
+
+
 def test_models(spark):
     rows = [(k // 4, k, float(k % 2) + 0.1 * (k % 3), None if k % 5 == 0 else 1.0, bool(k % 2)) for k in range(200)]
     df = spark.createDataFrame(rows, "s1 long, p long, x double, y double, label boolean")
