@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 EXAMPLES = 5
@@ -21,10 +22,18 @@ def found(df: DataFrame, rule: str, example: Column) -> DataFrame:
 
 
 def check_header(spark: SparkSession, path: str, expected: list[str]) -> list[str]:
-    """What is wrong with a file's first line: nothing in it, commas for tabs, or other columns."""
-    first = spark.read.text(path).limit(1).collect()
+    """What keeps a file from being read: it is missing, empty or not UTF-8, or its first line has commas for tabs or other columns."""
+    try:
+        lines = spark.read.text(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return ["missing_file"]
+    first = lines.limit(1).collect()
     if not first:
         return ["empty_file"]
+    if lines.filter(~F.is_valid_utf8("value")).limit(1).count():
+        return ["not_utf8"]
     cells = [c.strip().lower() for c in first[0][0].split("\t")]
     if cells == [c.lower() for c in expected]:
         return []

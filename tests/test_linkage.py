@@ -116,6 +116,9 @@ def test_validation(spark, tmp_path):
     assert validate.check_header(spark, f"{tmp_path}/m.tsv", ["source1_entity_id", "matched_entity_ids"]) == []
     (tmp_path / "c.tsv").write_text("source1_entity_id,matched_entity_ids\n")
     assert validate.check_header(spark, f"{tmp_path}/c.tsv", ["source1_entity_id", "matched_entity_ids"]) == ["comma_separated"]
+    (tmp_path / "u.tsv").write_bytes(b"source1_entity_id\tmatched_entity_ids\nS1-1\tS2-\xff\n")
+    assert validate.check_header(spark, f"{tmp_path}/u.tsv", ["source1_entity_id", "matched_entity_ids"]) == ["not_utf8"]
+    assert validate.check_header(spark, f"{tmp_path}/none.tsv", ["source1_entity_id", "matched_entity_ids"]) == ["missing_file"]
     odd = validate.match_issues(good, spark.createDataFrame([("S1-1", ["S3-1"])], "source1_entity_id string, ids array<string>")).first()
     assert odd.n == 1 and validate.passed(spark.createDataFrame([odd]))
 
