@@ -1,18 +1,20 @@
-"""Folding of any script to small ASCII letters, for rows that Column functions can't fold."""
+"""Folding of any script to small ASCII letters."""
 
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from functools import cache
 
-import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import StringType
 
 from kinloom.functions import lexicon as lex
 
 _BEYOND_ASCII = re.compile(r"[^\x00-\x7f]")
+#: Chinese and Korean letters, which have no reading; a shortcut, as the map knows none of them either.
+_WITHOUT_READING = r"[\u3400-\u9fff\uac00-\ud7a3]"
+_ITEM, _VALUE = "\x01", "\x02"
 
 
 @cache
@@ -81,20 +83,62 @@ def _plain() -> tuple[str, str, str]:
     return "".join(one), "".join(to), "".join(none)
 
 
-@F.pandas_udf(StringType())
-def _fold_any(texts: pd.Series) -> pd.Series:
-    return texts.map(fold_text, na_action="ignore")
+@cache
+def _readings() -> tuple[str, str, str]:
+    """Characters of the first Indic block and of other scripts that read as one character, what they read, and the others as pairs for a map."""
+    first, folded = lex.INDIC_BLOCKS[0], {}
+    for c in map(chr, range(0x80, sys.maxunicode + 1)):
+        if c not in _letters() and unicodedata.decomposition(c):
+            folded[c] = fold_text(c)
+    folded |= {chr(first + p): _letters()[chr(first + p)][1] or "" for p in range(0x80)}
+    folded |= {mark: reading for reading, mark in _closed().items()}
+    single = [c for c, reading in folded.items() if len(reading) == 1]
+    pairs = _ITEM.join(c + _VALUE + reading for c, reading in folded.items() if len(reading) > 1)
+    return "".join(single), "".join(folded[c] for c in single), pairs
 
 
-def fold(text: Column, any_script: bool = True) -> Column:
+@cache
+def _closed() -> dict[str, str]:
+    """Private characters for the readings of letters that leave no consonant open, also once a nukta has changed them."""
+    readings = {*lex.FINAL_LETTERS.values()}
+    readings |= {lex.NUKTA_READINGS[r] for r in readings if r in lex.NUKTA_READINGS}
+    return {r: chr(0xE000 + i) for i, r in enumerate(sorted(readings))}
+
+
+def _romanized(text: Column) -> Column:
+    """``romanize`` as far as single characters: all Indic letters in the first block, changed by nuktas, inherent vowels written out."""
+    letters, first = _letters(), lex.INDIC_BLOCKS[0]
+    nukta, virama = chr(first + lex.INDIC_NUKTA), chr(first + lex.INDIC_VIRAMA)
+    moved = {chr(b + p): chr(first + p) for b in lex.INDIC_BLOCKS[1:] for p in range(0x80)}
+    moved |= {mark: "\ufffd" for mark in _closed().values()} | {chr(c): _closed()[r] for c, r in lex.FINAL_LETTERS.items()}
+    silent = "".join(chr(b + p) for b in lex.INDIC_BLOCKS for p in lex.INDIC_SILENT) + "\u200c\u200d"
+    kept = {c: to for c, to in moved.items() if c not in silent}
+    out = F.translate(F.replace(text, *map(F.lit, lex.MALAYALAM_DOUBLE)), "".join(kept) + silent, "".join(kept.values()))
+    consonants = {chr(first + p): r for p, r in lex.INDIC_CONSONANTS.items()}
+    by_reading = {r: c for c, r in consonants.items()}
+    for plain, changed in lex.NUKTA_READINGS.items():
+        found = "".join(c for c, r in consonants.items() if r == plain)
+        for before, after in ((found, by_reading[changed]), (plain, changed), (_closed().get(plain, ""), _closed().get(changed, ""))):
+            if len(before) == 1 or before == found:
+                out = F.regexp_replace(out, f"[{before}]({virama}*){nukta}", f"{after}$1")
+    closing = "".join(chr(first + p) for p in range(0x80) if letters[chr(first + p)][0]) + "".join(_closed().values())
+    out = F.replace(out, F.lit(nukta), F.lit(""))
+    return F.regexp_replace(out, f"(?<=[{''.join(consonants)}])(?=[{closing}])", "a")
+
+
+def _is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.char_length(text)
+
+
+def fold(text: Column) -> Column:
     """Small ASCII letters of a text: accents go, Indic scripts are romanised, what is left beyond ASCII is deleted.
 
-    Latin texts fold inside the JVM.  The Arrow function sees only other texts, and isn't part of the plan if ``any_script`` is
-    false; then what isn't Latin is deleted.  Null stays null.
+    Equal to ``fold_text``, but inside the JVM; texts of Latin letters alone take a shorter way.  Null stays null.
     """
     one, to, none = _plain()
-    latin = F.lower(F.regexp_replace(F.translate(text, one + none, to), r"[^\x00-\x7f]", ""))
-    if not any_script:
-        return latin
-    plain = text.rlike("^[\\x00-\\x7f" + re.escape(one + none) + "]*$")
-    return F.when(plain, latin).otherwise(_fold_any(F.when(~plain, text)))
+    latin = F.translate(text, one + none, to)
+    single, reading, pairs = _readings()
+    several = F.str_to_map(F.lit(pairs), F.lit(_ITEM), F.lit(_VALUE))
+    read = F.regexp_replace(F.translate(_romanized(text), single, reading), _WITHOUT_READING, "")
+    spelt = F.transform(F.split(read, ""), lambda c: F.when(c > "\x7f", F.coalesce(F.try_element_at(several, c), F.lit(""))).otherwise(c))
+    return F.when(_is_ascii(text), F.lower(text)).when(_is_ascii(latin), F.lower(latin)).otherwise(F.lower(F.array_join(spelt, "")))

@@ -17,16 +17,14 @@ WEB = r"(?iU)(\.com|\.in\b|\.net|\.org|www\.|^@)"
 INDIC = r"[ऀ-ൿ]"
 
 
-def listed(words: list[str]) -> Column:
-    return F.array(*map(F.lit, words))
-
-
 def looked_up(table: dict[str, str]) -> Column:
     return F.create_map(*(F.lit(x) for kv in table.items() for x in kv))
 
 
 def mapped(token: Column, table: dict[str, str]) -> Column:
-    return F.coalesce(F.try_element_at(looked_up(table), token), token)
+    """What the table has for a token, or the token; most are known by their hash not to be in the table, whose map is read key by key."""
+    changed = {k: v for k, v in table.items() if k != v}
+    return F.when(token.isin(*changed), F.try_element_at(looked_up(changed), token)).otherwise(token)
 
 
 def tokens(text: Column) -> Column:
@@ -57,20 +55,20 @@ def repair_digit_letters(text: Column) -> Column:
     return out
 
 
-def skeleton(token: Column) -> Column:
-    """Consonants of a token, alike for spellings that sound alike; digits stay."""
-    out = token
+def skeleton(words: Column) -> Column:
+    """Consonants of each of blank-joined tokens, alike for spellings that sound alike; tokens of digits alone stay."""
+    out = F.regexp_replace(words, r"(?<![^ ])([0-9]+)(?![^ ])", "\u0001$1")
     for sound, sign in lex.SKELETON_REWRITES:
         out = F.replace(out, F.lit(sound), F.lit(sign))
-    out = F.translate(out, *lex.SKELETON_LETTERS)
-    head = F.regexp_replace(F.substring(out, 1, 1), "[aeiou]", "a")
-    tail = F.regexp_replace(out.substr(F.lit(2), F.length(out)), "[aeiouh]", "")
-    return F.when(token.rlike("^[0-9]*$"), token).otherwise(F.regexp_replace(F.concat(head, tail), r"(.)\1+", "$1"))
+    out = F.regexp_replace(F.translate(out, *lex.SKELETON_LETTERS), "(?<![^ ])[aeiou]", "a")
+    out = F.regexp_replace(out, "(?<=[^ ])[aeiouh]", "")
+    # doubles become one, but for those in the marked tokens
+    return F.replace(F.regexp_replace(out, "(\u0001[0-9]+)|([^ ])\\2+", "$1$2"), F.lit("\u0001"), F.lit(""))
 
 
-def name_tokens(raw: Column, any_script: bool = True) -> Column:
+def name_tokens(raw: Column) -> Column:
     """All tokens of a name, legal forms in their short forms and honorifics in front removed."""
-    s = fold(repair_capital_l(raw), any_script)
+    s = fold(repair_capital_l(raw))
     s = after_trade_marker(F.regexp_replace(s, ID_TAG, " "))
     for pattern in (URL, DOMAIN, MESSRS):
         s = F.regexp_replace(s, pattern, " ")
@@ -82,34 +80,29 @@ def name_tokens(raw: Column, any_script: bool = True) -> Column:
 
 def without_honorifics(found: Column) -> Column:
     """Tokens from the first that is no honorific on, or the last one."""
-    kept = F.filter(F.transform(found, lambda t, i: F.when(~F.array_contains(listed(lex.HONORIFICS), t), i + 1)), lambda i: i.isNotNull())
-    first = F.coalesce(F.try_element_at(kept, F.lit(1)), F.size(found))
-    return F.when(F.size(found) > 1, F.slice(found, first, F.size(found))).otherwise(found)
+    return words(F.regexp_replace(F.array_join(found, " "), f"^(?:(?:{'|'.join(lex.HONORIFICS)}) )+", ""))
 
 
 def core_tokens(found: Column) -> Column:
     """Tokens that are neither legal forms nor stop words; all, if none is left."""
-    idle = listed(sorted({*lex.LEGAL_FORMS.values(), *lex.NAME_STOP_WORDS}))
-    core = F.filter(found, lambda t: ~F.array_contains(idle, t))
+    idle = sorted({*lex.LEGAL_FORMS.values(), *lex.NAME_STOP_WORDS})
+    core = F.filter(found, lambda t: ~t.isin(idle))
     core = F.when(F.size(core) > 0, core).otherwise(found)
     cut = (F.size(core) == 1) & core[0].rlike("^.{5,}com$")
     return F.when(cut, F.transform(core, lambda t: F.regexp_replace(t, "com$", ""))).otherwise(core)
 
 
 def address_tokens(folded: Column) -> Column:
-    def short(t: Column) -> Column:
-        return mapped(F.regexp_replace(t, "^0+([0-9]+(?:st|nd|rd|th)?)$", "$1"), lex.ADDRESS_FORMS)
-
-    return F.filter(F.transform(tokens(folded), short), lambda t: ~F.array_contains(listed(lex.ADDRESS_NOISE), t))
+    short = F.regexp_replace(folded, "(?<![a-z0-9])0+([0-9]+(?:st|nd|rd|th)?)(?![a-z0-9])", "$1")
+    return F.filter(F.transform(tokens(short), lambda t: mapped(t, lex.ADDRESS_FORMS)), lambda t: ~t.isin(lex.ADDRESS_NOISE))
 
 
 def address_numbers(folded: Column) -> Column:
-    found = F.regexp_extract_all(folded, F.lit(r"([0-9]+)"), 1)
-    return F.array_distinct(F.transform(found, lambda n: F.regexp_replace(n, "^0+([0-9]+)$", "$1")))
+    return F.array_distinct(F.regexp_extract_all(folded, F.lit("0*([0-9]+)"), 1))
 
 
-def folded_address(raw: Column, any_script: bool = True) -> Column:
-    return F.replace(F.replace(fold(raw, any_script), F.lit("n/a"), F.lit(" ")), F.lit("c/o"), F.lit(" "))
+def folded_address(raw: Column) -> Column:
+    return F.replace(F.replace(fold(raw), F.lit("n/a"), F.lit(" ")), F.lit("c/o"), F.lit(" "))
 
 
 def letters_only(address: Column) -> Column:
@@ -122,17 +115,17 @@ def street(address: Column) -> Column:
     return F.regexp_extract(F.concat(F.lit(" "), F.replace(address, F.lit(" "), F.lit("  ")), F.lit(" ")), " [0-9]+  ([a-z]{3,}) ", 1)
 
 
-def normalized(records, any_script: bool = True):
+def normalized(records):
     """Adds nn, nc, nk, sk, an, num, native and web to records with name and address; nulls count as empty."""
     name, address = F.coalesce("name", F.lit("")), F.coalesce("address", F.lit(""))
     # one step for each level, so that none is worked out again for every use above it
-    df = records.withColumns({"_t": name_tokens(name, any_script), "_f": folded_address(address, any_script), "native": name.rlike(INDIC), "web": name.rlike(WEB)})
+    df = records.withColumns({"_t": name_tokens(name), "_f": folded_address(address), "native": name.rlike(INDIC), "web": name.rlike(WEB)})
     df = df.withColumn("_t", without_honorifics(F.col("_t")))
     df = df.withColumn("_c", core_tokens(F.col("_t")))
     return df.withColumns(
         {
             "nn": F.array_join("_t", " "), "nc": F.array_join("_c", " "), "nk": F.array_join("_c", ""),
-            "sk": F.array_join(F.transform("_c", skeleton), " "),
+            "sk": skeleton(F.array_join("_c", " ")),
             "an": F.array_join(address_tokens(F.col("_f")), " "), "num": F.array_join(address_numbers(F.col("_f")), " "),
         }
     ).drop("_t", "_f", "_c")

@@ -1,5 +1,7 @@
 """Golden rows of the normalisation rules, worked out by hand."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,3 +71,23 @@ def test_fold_by_column_is_fold_by_function(spark):
 def test_flags(spark):
     df = spark.createDataFrame([("www.x", ""), ("shop.in", ""), ("shop.inn", ""), ("@me", ""), ("a@b", ""), ("X.COM", "")], "name string, address string")
     assert [r.web for r in normalized(df).collect()] == [True, True, False, True, False, True]
+
+
+def test_fold_of_every_character(spark):
+    """Each code point alone between letters, and random runs of Indic letters, signs, nuktas and marks, against the plain function."""
+    every = ["".join(f"k{chr(c)}d " for c in range(at, at + 256) if not 0xD800 <= c < 0xE000) for at in range(0, 0x30000, 256)]
+    rng = random.Random(3)
+    indic = [[chr(c) for c in range(b, b + 0x80)] + list("jkd ‌‍ﬁ") + [chr(b + 0x3C), chr(b + 0x4D)] * 12 + [chr(b + 0x1C), chr(b + 0x15), chr(b + 0x22)] * 6 for b in range(0x900, 0xD80, 0x80)]
+    texts = every + ["".join(rng.choices(letters, k=60)) for letters in indic for _ in range(200)] + ["റ്റ", "क़्", "ज़", "൱़", "ൿ഼ क"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    wrong = [texts[r.i] for r in df.select("i", fold(F.col("t")).alias("f")).collect() if r.f != fold_text(texts[r.i])]
+    assert not wrong, (len(wrong), wrong[:3])
+
+
+def test_skeletons_of_joined_tokens(spark):
+    """Tokens joined by blanks have the skeletons that they have alone."""
+    rng = random.Random(5)
+    tokens = ["".join(rng.choices("aehoucsthpkwzxqy0012", k=rng.randint(1, 7))) for _ in range(600)] + ["1000a", "a1000", "1000", "h", "hh", "0", "a", "ee"]
+    alone = [r.s for r in spark.createDataFrame([(t,) for t in tokens], "t string").select(skeleton(F.col("t")).alias("s")).collect()]
+    assert spark.range(1).select(skeleton(F.lit(" ".join(tokens))).alias("s")).first().s == " ".join(alone)
+    assert dict(zip(tokens, alone)) | {"1000a": "10", "a1000": "a10", "1000": "1000", "hh": "h"} == dict(zip(tokens, alone))
