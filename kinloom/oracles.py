@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from kinloom.functions import lexicon as lex
 
-CAP, MIN_TERMS, M_MULT, K = 100, 2, 4, 5
+CAP, MIN_TERMS, M_MULT = 5000, 2, 4
+KS = {"joint": 30, "addr": 20, "name": 10, "cgram": 10, "name_noaddr": 10, "native": 10, "cgram_noaddr": 10, "joint_rev": 2}
 
 
 def _quoted(text: str) -> str:
@@ -89,8 +90,9 @@ CHANNELS = {
 }
 
 
-def retrieve(channel: str, k: int = K) -> str:
+def retrieve(channel: str, k: int | None = None, cap: int = CAP) -> str:
     """CTEs up to ``r_<channel>``: s1, p, score, rank."""
+    k = k or KS[channel]
     reverse, base = channel.endswith("_rev"), channel.removesuffix("_rev")
     terms, pool = CHANNELS[base]
     c, searched = channel, "NOT pool" if reverse else "pool"
@@ -105,7 +107,7 @@ w_{c} AS MATERIALIZED (
   SELECT t.country, rid, NOT ({searched}) AS asks, term, df, idf / greatest(sqrt(sum(idf * idf) OVER (PARTITION BY rid)), 1e-12) AS w
   FROM t_{c} t JOIN i_{c} i USING (country, term)),
 q_{c} AS MATERIALIZED (
-  SELECT country, term, rid AS q, w AS wq, df <= {CAP} OR row_number() OVER (PARTITION BY rid ORDER BY df, term) <= {MIN_TERMS} AS used
+  SELECT country, term, rid AS q, w AS wq, df <= {cap} OR row_number() OVER (PARTITION BY rid ORDER BY df, term) <= {MIN_TERMS} AS used
   FROM w_{c} WHERE asks AND df > 0),
 p_{c} AS MATERIALIZED (SELECT country, term, rid AS p, w AS wp FROM w_{c} WHERE NOT asks),
 a_{c} AS (SELECT q, p, sum(wq * wp) AS s FROM q_{c} JOIN p_{c} USING (country, term) WHERE used GROUP BY q, p),
@@ -132,7 +134,6 @@ per_entity AS (SELECT *, {F05} AS f05 FROM judged)"""
 DECIDED = f"{JOINT},\n{TRUTH},\n{BEST},\npred AS (SELECT s1, p FROM best WHERE prob >= 0.6)"
 SUMMARY = """round(avg(f05), 6) AS macro_f05, round(avg(f05) FILTER (n_true > 0), 6) AS f05_matched_entities, round(avg(f05) FILTER (n_true = 0), 6) AS f05_singletons,
   round(sum(tp)::DOUBLE / nullif(sum(n_pred), 0), 6) AS pair_precision, round(sum(tp)::DOUBLE / nullif(sum(n_true), 0), 6) AS pair_recall, count(*) AS n_entities, sum(n_pred)::BIGINT AS n_pred_pairs"""
-KS = {"joint": 5, "addr": 5, "name": 5, "cgram": 5, "name_noaddr": 5, "cgram_noaddr": 5, "joint_rev": 2}
 
 
 def lists(pairs: str, column: str) -> str:
@@ -143,7 +144,7 @@ def lists(pairs: str, column: str) -> str:
 def _union_sql() -> str:
     cols = ", ".join(f"coalesce(max(score) FILTER (channel = '{c}'), 0.0) AS score_{c}, coalesce(max(rank) FILTER (channel = '{c}'), {k}) AS rank_{c}" for c, k in KS.items())
     every = " UNION ALL ".join(f"SELECT '{c}' AS channel, * FROM r_{c}" for c in KS)
-    ctes = ",\n".join(retrieve(c, k) for c, k in KS.items())
+    ctes = ",\n".join(retrieve(c) for c in KS)
     return f"WITH {BASE},\n{ctes},\nu AS (SELECT s1, p, {cols} FROM ({every}) GROUP BY s1, p)\nSELECT * REPLACE (CASE WHEN score_joint = 0 THEN score_joint_rev ELSE score_joint END AS score_joint) FROM u"
 
 
@@ -195,7 +196,7 @@ SELECT round(sum(tp)::DOUBLE / sum(n_true), 6) AS pair_recall, round(avg(n_pred)
 FROM truth t LEFT JOIN scored s ON s.s1 = t.s1 AND s.p = t.p JOIN norm a ON a.rid = t.s1 JOIN norm b ON b.rid = t.p GROUP BY ALL""",
         "er_rarity": _rarity_sql(),
         "er_part_rarity": "SELECT p_brand AS country, p_name AS value, count(*) FILTER (p_partkey % 3 = 0) AS s1_n, count(*) FILTER (p_partkey % 3 > 0) AS pool_n FROM part WHERE p_name <> '' GROUP BY ALL",
-        "er_pool_competition": f"""{JOINT},\n{COMPETITION}\nSELECT c.*, round(ln(1 + c.n / ({K} * z.s / greatest(z.q, 1)::DOUBLE)), 6) AS nrel FROM comp c JOIN norm r ON r.rid = c.p
+        "er_pool_competition": f"""{JOINT},\n{COMPETITION}\nSELECT c.*, round(ln(1 + c.n / ({KS["joint"]} * z.s / greatest(z.q, 1)::DOUBLE)), 6) AS nrel FROM comp c JOIN norm r ON r.rid = c.p
 JOIN (SELECT country, count(*) FILTER (source = 1) AS s, count(*) FILTER (source > 1) AS q FROM norm GROUP BY country) z ON z.country = r.country""",
         "er_margins": f"{JOINT},\n{COMPETITION}\nSELECT s1, p, round(score - CASE WHEN s1 = best_s1 THEN max2 ELSE max1 END, 6) AS margin, round(ln(1 + n), 6) AS lists FROM r_joint JOIN comp USING (p)",
         "er_group_context": f"""{JOINT}\nSELECT s1, p, round(prob - max(prob) OVER (PARTITION BY s1), 6) AS gap, (rank() OVER (PARTITION BY s1 ORDER BY prob DESC))::INT AS rk,
@@ -261,4 +262,5 @@ x AS (SELECT 'duplicate_row' AS rule, s AS x FROM l GROUP BY s HAVING count(*) >
 SELECT r.rule, count(x) AS n, coalesce(array_to_string(list_sort(list(x))[1:5], ','), '') AS examples
 FROM (SELECT unnest(['duplicate_row', 'duplicate_in_list', 'source1_in_list', 'wrong_prefix', 'missing_row', 'unexpected_row', 'unknown_id']) AS rule) r LEFT JOIN x ON x.rule = r.rule GROUP BY r.rule""",
     }
+    out["er_retrieve_capped"] = f"WITH {BASE},\n{retrieve('joint', 5, 100)}\nSELECT * FROM r_joint"
     return out | {f"er_retrieve_{c}": f"WITH {BASE},\n{retrieve(c)}\nSELECT * FROM r_{c}" for c in (*CHANNELS, "joint_rev")}

@@ -18,9 +18,10 @@ from kinloom.sources.scratch import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-#: Caps that bind on the test tables, so that skipped terms and shortlists take part.
-CAP, MIN_TERMS, M_MULT, K = 100, 2, 4, 5
-CHANNEL_KS = {"joint": 5, "addr": 5, "name": 5, "cgram": 5, "name_noaddr": 5, "cgram_noaddr": 5, "joint_rev": 2}
+CAP, MIN_TERMS, M_MULT = 5000, 2, 4
+CHANNEL_KS = {c: x.k for c, x in CHANNELS.items()} | {"joint_rev": 2}
+#: Cap and list length of ``er_retrieve_capped``; the cap binds on the test tables too, so that skipped terms and shortlists take part.
+SMALL_CAP, SMALL_K = 100, 5
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,12 +47,12 @@ class Linkage:
         self.records = self.scratch.save(norms(spark, sf_dir), "norms")
         self.documents = table(spark, sf_dir, "documents")
 
-    def retrieve(self, channel: str, k: int = K) -> DataFrame:
+    def retrieve(self, channel: str, k: int | None = None, cap: int = CAP) -> DataFrame:
         base = channel.removesuffix("_rev")
-        return cosine_topk(self.scratch, self.records, CHANNELS[base], k, CAP, MIN_TERMS, M_MULT, channel.endswith("_rev"), name=f"w-{channel}")
+        return cosine_topk(self.scratch, self.records, CHANNELS[base], k or CHANNEL_KS[channel], cap, MIN_TERMS, M_MULT, channel.endswith("_rev"), name=f"w-{channel}")
 
     def candidates(self, *channels: str) -> DataFrame:
-        return self.scratch.save(cand.tagged({c: self.retrieve(c, CHANNEL_KS[c]) for c in channels}), "candidates")
+        return self.scratch.save(cand.tagged({c: self.retrieve(c) for c in channels}), "candidates")
 
     def scored(self) -> DataFrame:
         """The joint cosine as probability: the decision path without a model."""
@@ -77,6 +78,10 @@ def _retrieve(channel: str) -> Query:
     return lambda spark, sf_dir: Linkage(spark, sf_dir).retrieve(channel)
 
 
+def er_retrieve_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Linkage(spark, sf_dir).retrieve("joint", SMALL_K, SMALL_CAP)
+
+
 def er_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records(spark, sf_dir).withColumn("source", F.col("source").cast("int"))
 
@@ -156,9 +161,9 @@ def er_part_rarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def er_pool_competition(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = Linkage(spark, sf_dir)
-    c = x.retrieve("joint")
-    rel = stats.relative_lists(stats.pool_competition(c), x.records, K)
-    return stats.pool_competition(c).join(rel.select("p", F.round("nrel", 6).alias("nrel")), "p")
+    c = x.scratch.save(stats.pool_competition(x.retrieve("joint")), "competition")
+    rel = stats.relative_lists(c, x.records, CHANNEL_KS["joint"])
+    return c.join(rel.select("p", F.round("nrel", 6).alias("nrel")), "p")
 
 
 def er_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -289,7 +294,7 @@ def er_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def er_pair_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = Linkage(spark, sf_dir)
-    return pair_features(x.retrieve("joint", 3), x.records)
+    return pair_features(x.retrieve("joint"), x.records)
 
 
 def er_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
