@@ -32,7 +32,7 @@ from pyspark.sql.window import Window
 
 from kinloom.llm.components import components
 from kinloom.llm.scratch import Scratch, shuffle_partitions
-from kinloom.llm.workers import release, sliced
+from kinloom.llm.workers import give_back, release, sliced
 
 NO_ID = -(1 << 63)
 #: Coordinates of points: this many, or else a quarter of the set's size, rounded up to a power of two.
@@ -297,6 +297,7 @@ def by_key(batches: Iterator[pa.RecordBatch], keys: int, numbers: int) -> Iterat
         held, held_points = [c[at:] for c in cols], points[at:]
     if held is not None and len(held_points):
         yield held, held_points
+    give_back()
 
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kinloom.llm.scratch import Scratch, shuffle_partitions
-from kinloom.llm.workers import SLICE_BYTES, release, sliced
+from kinloom.llm.workers import SLICE_BYTES, give_back, release, sliced
 
 BLANK = b" \t\n\x0b\x0c\r"
 HOT_LINES = 4096
@@ -208,6 +208,7 @@ def probe(docs: DataFrame, arrays: DataFrame, hot: LineShard, shards: int, min_d
                     hit = shard.count(h.astype(np.uint64)) >= min_docs
                     if hit.any():
                         yield pa.RecordBatch.from_arrays([pa.array(owner[hit]), pa.array([x.tobytes() for x in h[hit]], pa.binary())], names=["key", "found"])
+        give_back()
 
     return dealt.mapInArrow(answer, "key long, found binary").groupBy("key").agg(F.collect_set("found").alias("found"))
 

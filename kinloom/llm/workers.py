@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Hashable, Iterator
 from typing import Any
 
@@ -15,7 +16,10 @@ _HELD: list[tuple[Hashable, Any]] = []
 
 
 def sliced(batches: Iterator[pa.RecordBatch], column: int, rows: int = 4096, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The rows of ``batches`` in slices of at most ``rows`` rows and ``most`` bytes in ``column``; a longer text has one to itself."""
+    """The rows of ``batches`` in slices of at most ``rows`` rows and ``most`` bytes in ``column``; a longer text has one to itself.
+
+    When they end, freed memory goes back to the machine, as the process waits for other tasks.
+    """
     for batch in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
@@ -24,16 +28,27 @@ def sliced(batches: Iterator[pa.RecordBatch], column: int, rows: int = 4096, mos
             end = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + most, side="right"))))
             yield batch.slice(at, end - at)
             at = end
+    give_back()
+
+
+def give_back() -> None:
+    """Memory that was freed, but that Arrow and the C library keep for later, goes back to the machine."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
 
 
 def held(key: Hashable, make: Callable[[], Any]) -> Any:
     """What was made for ``key`` before; else what was made for another key goes, and it is made now."""
     if not _HELD or _HELD[0][0] != key:
-        _HELD.clear()
+        release()
         _HELD.append((key, make()))
     return _HELD[0][1]
 
 
 def release() -> None:
     """Operators that keep nothing call this, so that nothing of others stays beside them."""
-    _HELD.clear()
+    if _HELD:
+        _HELD.clear()
+        give_back()
